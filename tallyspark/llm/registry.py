@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, line_dedup, near_dup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_exact_dedup": exact_dedup.query}
+    return {"op1_line_dedup": line_dedup.query, "op7_exact_dedup": exact_dedup.query, "op9_near_dup": near_dup.query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op7_exact_dedup": exact_dedup.SQL, "op9_near_dup": near_dup.SQL}
