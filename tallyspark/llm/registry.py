@@ -6,12 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, near_dup
+from . import decontaminate, exact_dedup, line_dedup, near_dup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": line_dedup.query, "op7_exact_dedup": exact_dedup.query, "op9_near_dup": near_dup.query}
+    return {
+        "op1_line_dedup": line_dedup.query,
+        "op3_decontaminate": decontaminate.query,
+        "op7_exact_dedup": exact_dedup.query,
+        "op9_near_dup": near_dup.query,
+        "op10_toxicity": toxicity.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op7_exact_dedup": exact_dedup.SQL, "op9_near_dup": near_dup.SQL}
+    return {
+        "op1_line_dedup": line_dedup.SQL,
+        "op3_decontaminate": decontaminate.SQL,
+        "op7_exact_dedup": exact_dedup.SQL,
+        "op9_near_dup": near_dup.SQL,
+    }
