@@ -137,7 +137,7 @@ def _lines(batches, least: int) -> Iterator[pa.RecordBatch]:
 
 
 def _rebuilt(batches, least: int) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text, drop: first halves of the key hashes to drop) -> what stays of each text."""
+    """Rows (row, text, drop: first halves of the key hashes to drop) -> row and what stays of each text."""
     for batch in by_slices(batches, "text"):
         n_lines, n_dropped, kept = [], [], []
         for text, drop in zip(batch.column("text").to_pylist(), batch.column("drop").to_pylist()):
@@ -148,7 +148,7 @@ def _rebuilt(batches, least: int) -> Iterator[pa.RecordBatch]:
                 lines = [line for line, key in zip(lines, keyed(text, least)) if key is None or _signed(key)[0] not in drop]
             n_dropped.append(n_lines[-1] - len(lines))
             kept.append("\n".join(lines))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], ["id", "n_lines", "n_dropped", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], ["row", "n_lines", "n_dropped", "kept"])
 
 
 @dataclass(frozen=True)
@@ -225,7 +225,7 @@ class LineIndex:
         return replace(self, postings=postings, refs=refs, filters=self._filters(remove=touched.join(left, ["h1", "h2"], "left_anti")))
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BROADCAST_ROWS) -> DataFrame:
-        """docs with n_lines, n_dropped and kept (text): lines whose key is in several indexed documents go, but for the first's.
+        """(row: the other columns of docs, n_lines, n_dropped, kept): lines whose key is in several indexed documents go, but for the first's.
 
         docs must be indexed. The drop lists are broadcast up to `limit` entries; beyond, texts are shuffled by id once."""
         shared = durable(self.refs.filter("n > 1").select("h1", "h2", "first"))
@@ -234,8 +234,10 @@ class LineIndex:
         drops = durable(drops.groupBy("id").agg(F.collect_list("h1").alias("drop")))
         small = (drops.agg(F.sum(F.size("drop") + 4)).first()[0] or 0) <= limit
         least = self.least
-        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drops) if small else drops, "id", "left")
-        return rows.select("id", "text", "drop").mapInArrow(lambda b: _rebuilt(b, least), "id long, n_lines long, n_dropped long, kept string").withColumnRenamed("id", id_col)
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+        rows = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drops) if small else drops, "id", "left")
+        rows = rows.select("row", "text", "drop")
+        return rows.mapInArrow(lambda b: _rebuilt(b, least), f"row {rows.schema['row'].dataType.simpleString()}, n_lines long, n_dropped long, kept string")
 
 
 def empty_index(spark, expected_lines: int = 0, least: int = 10) -> LineIndex:
@@ -245,7 +247,8 @@ def empty_index(spark, expected_lines: int = 0, least: int = 10) -> LineIndex:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, increments: int = 2, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Index all documents, in so many increments, then drop repeated lines: (id_col, n_lines, n_dropped, kept).
+    """Index all documents, in so many increments, then drop repeated lines: (row, n_lines, n_dropped, kept), row being the
+    columns of docs other than the text.
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of at least `least` code points
     that are in several documents lose their lines in all but the smallest id. Null and empty texts are one empty line.
@@ -260,7 +263,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: every row of documents, with what line deduplication leaves of it."""
     kept = dedup_lines(table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 SQL = r"""

@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, line_dedup, near_dup, toxicity
+import corpus_pipeline
+
+from . import decontaminate, exact_dedup, line_dedup, near_dup, packing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.query,
         "op3_decontaminate": decontaminate.query,
+        "op6_packing": packing.query,
         "op7_exact_dedup": exact_dedup.query,
         "op9_near_dup": near_dup.query,
         "op10_toxicity": toxicity.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 

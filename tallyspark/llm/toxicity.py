@@ -164,6 +164,25 @@ def score(docs: DataFrame, model: OrdinalModel | None, id_col: str = "doc_id", t
     return got.select(F.col("id").alias(id_col), "severity", "grade", (F.col("chance") >= reject).alias("toxic"))
 
 
+def _passed(batches, model: OrdinalModel, reject: float) -> Iterator[pa.RecordBatch]:
+    known = _Known(model.index)
+    for batch in by_slices(batches, "_text"):
+        clean = []
+        for text in batch.column("_text").to_pylist():
+            f, c = counted(text, known.__getitem__)
+            clean.append(not (len(f) and model.above(float(model.weights[f] @ np.log1p(c)))[0] >= reject))
+        yield batch.select(["_row"]).filter(pa.array(clean, pa.bool_()))
+
+
+def clean_documents(docs: DataFrame, model: OrdinalModel | None, text_col: str = "text", reject: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, that score() does not call toxic."""
+    if model is None:
+        return docs
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return rows.mapInArrow(lambda b: _passed(b, shared.value, reject), f"_row {rows.schema['_row'].dataType.simpleString()}").select("_row.*")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op10: the expected severity of every row of documents."""
     docs = table(spark, sf_dir, "documents")
