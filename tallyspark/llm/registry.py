@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, exact_dedup, line_dedup, near_dup, packing, toxicity
+from . import decontaminate, exact_dedup, language, line_dedup, lm_score, near_dup, packing, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.query,
+        "op2_warc": warc.query,
         "op3_decontaminate": decontaminate.query,
+        "op5_language": language.query,
         "op6_packing": packing.query,
         "op7_exact_dedup": exact_dedup.query,
+        "op8_lm_score": lm_score.query,
         "op9_near_dup": near_dup.query,
         "op10_toxicity": toxicity.query,
         "pipeline": corpus_pipeline.run,
@@ -26,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": line_dedup.SQL,
+        "op2_warc": warc.SQL,
         "op3_decontaminate": decontaminate.SQL,
         "op7_exact_dedup": exact_dedup.SQL,
         "op9_near_dup": near_dup.SQL,
