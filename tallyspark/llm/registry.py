@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, exact_dedup, language, line_dedup, lm_score, near_dup, packing, toxicity, warc
+from . import decontaminate, exact_dedup, html_text, language, line_dedup, lm_score, near_dup, packing, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": line_dedup.query,
         "op2_warc": warc.query,
         "op3_decontaminate": decontaminate.query,
+        "op4_html_text": html_text.query,
         "op5_language": language.query,
         "op6_packing": packing.query,
         "op7_exact_dedup": exact_dedup.query,
