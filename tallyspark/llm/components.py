@@ -11,16 +11,17 @@ from .common import durable, is_empty
 def components(edges: DataFrame) -> DataFrame:
     """edges (u, v: long) -> (id, component): each id of an edge with the smallest id it can reach.
 
-    Every round hooks each vertex to its smallest neighbour, jumps pointers once, relabels the edges and drops loops and
-    repeats, so a component of n vertices takes O(log n) rounds. Vertices and edges stay in tables; nothing is gathered."""
+    Every round hooks each vertex to the first among itself and its neighbours, in the order of their hashes, relabels the
+    edges by the hooks and drops loops and repeats, until no edge is left. A star takes two rounds at most, whatever its
+    centre, and a chain's hashes have no long run in order, whatever its ids, so rounds grow with the logarithm of a
+    component's size. Vertices and edges stay in tables; nothing is gathered."""
     edges = durable(edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    labels = edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct().select("id", F.col("id").alias("component"))
+    labels = edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct().select("id", F.col("id").alias("root"))
     while not is_empty(edges):
+        rank = lambda c: F.struct(F.xxhash64(F.col(c)), F.col(c).alias("v"))
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hook = durable(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")))
-        jump = hook.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        hook = durable(hook.join(jump, "p", "left").select("u", F.least("p", F.coalesce("pp", "p")).alias("p")))
-        labels = durable(labels.join(hook.select(F.col("u").alias("component"), "p"), "component", "left").select("id", F.coalesce("p", "component").alias("component")))
+        hook = durable(both.groupBy("u").agg(F.min(rank("v")).alias("m")).select("u", F.least("m", rank("u"))["v"].alias("p")))
+        labels = durable(labels.join(hook.toDF("root", "p"), "root", "left").select("id", F.coalesce("p", "root").alias("root")))
         edges = edges.join(hook, "u").select(F.col("v").alias("u"), F.col("p").alias("a")).join(hook, "u").select("a", F.col("p").alias("b"))
         edges = durable(edges.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-    return labels
+    return durable(labels.join(labels.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component"))

@@ -1,7 +1,7 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 Stages: shingle sets and signatures (one pass over the text); one representative for each different set; band buckets;
-two rounds that compare each bucket's members with one leader; then, within buckets that still hold several components,
+a round that compares each bucket's members with two leaders; then, within buckets that still hold several components,
 every pair of members of different components, in blocks. A pair survives a comparison of signature batches while the
 posterior probability that it reaches the threshold is at least `miss`; survivors are confirmed on full shingle sets."""
 
@@ -88,7 +88,8 @@ def _banded(batches) -> Iterator[pa.RecordBatch]:
         for j in range(ROWS):
             key = (key ^ bands[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
-        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(np.asarray(batch.column("id")), HASHES // ROWS))], ["band", "id"])
+        nth = np.tile(np.arange(HASHES // ROWS, dtype=np.int32), batch.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(nth), pa.array(np.repeat(np.asarray(batch.column("id")), HASHES // ROWS))], ["band", "nth", "id"])
 
 
 def _compared(batches, threshold: float, miss: float) -> Iterator[pa.RecordBatch]:
@@ -99,36 +100,89 @@ def _compared(batches, threshold: float, miss: float) -> Iterator[pa.RecordBatch
             yield batch.select(["u", "v"]).take(pa.array(plausible(a, b, threshold, miss)))
 
 
-def _blocks(batches, threshold: float, miss: float) -> Iterator[pa.RecordBatch]:
-    """Rows (band, lo, hi, block, id, component, sig), sorted by the first three -> plausible pairs of different components.
-
-    A run of equal (band, lo, hi) is one pair of blocks, of bounded size."""
-
-    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        block, ids, comp = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2))
-        sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(-1, HASHES)
-        left = np.flatnonzero(block == block.min())
-        right = np.flatnonzero(block == block.max())
-        for i in left:
-            other = right[comp[right] != comp[i]]
-            if block[i] == block.max():
-                other = other[other > i]
-            if len(other):
-                found = other[plausible(np.broadcast_to(sig[i], (len(other), HASHES)), sig[other], threshold, miss)]
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[found])), pa.array(np.maximum(ids[i], ids[found]))], ["u", "v"])
-
+def _runs(batches, columns: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """The runs of equal (band, lo, hi) in rows sorted by them: one pair of blocks each, of bounded size."""
     key, rows = None, []
     for batch in batches:
         d = batch.to_pydict()
-        for band, lo, hi, *row in zip(d["band"], d["lo"], d["hi"], d["block"], d["id"], d["component"], d["sig"]):
-            if (band, lo, hi) != key:
-                if len(rows) > 1 and (key[1] == key[2] or len({r[0] for r in rows}) > 1):
-                    yield from pairs(rows)
-                key, rows = (band, lo, hi), []
-            rows.append(row)
-    if len(rows) > 1 and (key[1] == key[2] or len({r[0] for r in rows}) > 1):
-        yield from pairs(rows)
+        for row in zip(*(d[c] for c in ["band", "lo", "hi", *columns])):
+            if row[:3] != key:
+                if len(rows) > 1:
+                    yield key, rows
+                key, rows = row[:3], []
+            rows.append(row[3:])
+    if len(rows) > 1:
+        yield key, rows
+
+
+def _block_pairs(rows: list[tuple], sig: np.ndarray, threshold: float, miss: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For rows (nth band, block, component, …) of two blocks or one: a row's index and those of its plausible partners.
+
+    Partners are of another component, in the other block if there are two, and share no earlier band, so that a pair
+    comes up in one bucket only."""
+    block, comp = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.int64)
+    nth = rows[0][0]
+    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    for i in left:
+        other = right[comp[right] != comp[i]]
+        if block[i] == block.max():
+            other = other[other > i]
+        if nth and len(other):
+            same = (sig[other, : nth * ROWS] == sig[i, : nth * ROWS]).reshape(len(other), nth, ROWS).all(axis=2).any(axis=1)
+            other = other[~same]
+        if len(other):
+            found = other[plausible(np.broadcast_to(sig[i], (len(other), HASHES)), sig[other], threshold, miss)]
+            if len(found):
+                yield int(i), found
+
+
+def _active(batches, threshold: float, miss: float) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (band, lo, hi, nth, block, component, id, sig) -> those with a plausible partner, without sig."""
+    for (band, lo, hi), rows in _runs(batches, ["nth", "block", "component", "id", "sig"]):
+        if lo != hi and len({r[1] for r in rows}) < 2:
+            continue
+        sig, on = np.frombuffer(b"".join(r[4] for r in rows), np.uint32).reshape(-1, HASHES), set()
+        for i, found in _block_pairs(rows, sig, threshold, miss):
+            on.add(i), on.update(found.tolist())
+        if on:
+            kept = [rows[i] for i in sorted(on)]
+            same = lambda v, n=len(kept), **k: pa.array([v] * n, **k)
+            yield pa.RecordBatch.from_arrays([same(band, type=pa.int64()), same(lo, type=pa.int32()), same(hi, type=pa.int32()), *(pa.array([r[j] for r in kept], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64())))], ["band", "lo", "hi", "nth", "block", "component", "id"])
+
+
+def _linked(batches, threshold: float, miss: float) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (band, lo, hi, nth, block, component, id, shingles) -> links between components, enough to connect all
+    that are linked: a pair whose components earlier pairs have connected needs no look at its sets."""
+    for (_, lo, hi), rows in _runs(batches, ["nth", "block", "component", "id", "shingles"]):
+        if lo != hi and len({r[1] for r in rows}) < 2:
+            continue
+        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                parent[c] = c = parent.get(parent[c], parent[c])
+            return c
+
+        u, v = [], []
+        for i, found in _block_pairs(rows, np.stack([signature(x) for x in sets]), threshold, miss):
+            for j in found.tolist():
+                a, b = root(rows[i][2]), root(rows[j][2])
+                if a != b and similar(sets[i], sets[j], threshold):
+                    parent[max(a, b)] = min(a, b)
+                    u.append(rows[i][3]), v.append(rows[j][3])
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether two sorted sets reach the threshold, in whole percent."""
+    percent = round(threshold * 100)
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    if 100 * len(small) < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def _sets(batches, width: int) -> Iterator[pa.RecordBatch]:
@@ -139,7 +193,6 @@ def _sets(batches, width: int) -> Iterator[pa.RecordBatch]:
 
 def _confirmed(batches, threshold: float) -> Iterator[pa.RecordBatch]:
     """Rows (leader, part, role, id, shingles), the leader's row first in each (leader, part) -> links."""
-    percent = round(threshold * 100)
     held, own = None, np.empty(0, np.uint64)
     for batch in batches:
         u, v = [], []
@@ -148,12 +201,7 @@ def _confirmed(batches, threshold: float) -> Iterator[pa.RecordBatch]:
             if not role.as_py():
                 held, own = leader, got.copy()
             elif held == leader:
-                small, large = (got, own) if len(got) < len(own) else (own, got)
-                if 100 * len(small) < percent * len(large):
-                    continue
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                if 100 * both >= percent * (len(own) + len(got) - both):
+                if similar(own, got, threshold):
                     u.append(leader), v.append(id_.as_py())
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
@@ -171,6 +219,23 @@ def confirm(texts: DataFrame, pairs: DataFrame, threshold: float, width: int) ->
     return rows.repartition("leader", "part").sortWithinPartitions("leader", "part", "role").mapInArrow(lambda b: _confirmed(b, threshold), "u long, v long")
 
 
+def linked_blocks(texts: DataFrame, rest: DataFrame, sig: DataFrame, threshold: float, width: int, miss: float) -> DataFrame:
+    """Links (u, v) that connect the components in each bucket of rest (band, nth, id, component), all pairs considered.
+
+    A bucket is cut into blocks of about BLOCK members and a task compares two blocks, on signatures; only members with a
+    plausible partner then send their shingle sets there."""
+    size = rest.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    rows = rest.join(size, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    place = ["band", "lo", "hi", "nth", "block", "component", "id"]
+    rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).join(sig, "id").select(*place, "sig")
+    rows = rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    active = rows.mapInArrow(lambda b: _active(b, threshold, miss), "band long, lo int, hi int, nth int, block int, component long, id long")
+    needs = durable(active.groupBy("id").agg(F.collect_list(F.struct(*place[:-1])).alias("needs")))
+    sets = join_sized(texts, needs.select("id"), "id", "left_semi").mapInArrow(lambda b: _sets(b, width), "id long, shingles binary")
+    rows = join_sized(sets, needs, "id", "inner").select("id", "shingles", F.explode("needs").alias("x")).select("x.*", "id", "shingles")
+    return rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(lambda b: _linked(b, threshold, miss), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75, width: int = 5, miss: float = 1e-6) -> DataFrame:
     """Rows (id_col, n_shingles, component_id, kept): a row per input row, grouped by links of Jaccard >= threshold.
 
@@ -182,31 +247,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = durable(texts.mapInArrow(lambda b: _signed(b, width), "id long, n_shingles long, digest binary, sig binary"))
     reps = durable(signed.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
-    bands = durable(reps.select("id", "sig").mapInArrow(_banded, "band long, id long"))
+    bands = durable(reps.select("id", "sig").mapInArrow(_banded, "band long, nth int, id long"))
     bands = bands.join(bands.groupBy("band").count().filter("count > 1").select("band"), "band", "left_semi")
-    rest = durable(bands.select("band", "id", F.col("id").alias("component")))
+    rest = durable(bands.select("band", "nth", "id", F.col("id").alias("component")))
     sig = reps.select("id", "sig")
     links, labels = None, None
-    for leader in (F.min("id"), F.max_by("id", F.xxhash64("id", "band")), None):
+    for led in (True, False):
         if is_empty(rest):
             break
-        if leader is not None:
-            pairs = rest.join(rest.groupBy("band").agg(leader.alias("lead")), "band").filter("id <> lead").select(F.least("id", "lead").alias("u"), F.greatest("id", "lead").alias("v")).distinct()
+        if led:
+            leaders = rest.groupBy("band").agg(F.array_distinct(F.array(F.min("id"), F.max_by("id", F.xxhash64("id", "band")))).alias("lead"))
+            pairs = rest.join(leaders, "band").select("id", F.explode("lead").alias("lead")).filter("id <> lead").select(F.least("id", "lead").alias("u"), F.greatest("id", "lead").alias("v")).distinct()
             pairs = pairs.join(sig.toDF("u", "sig_u"), "u").join(sig.toDF("v", "sig_v"), "v").select("u", "v", "sig_u", "sig_v").mapInArrow(lambda b: _compared(b, threshold, miss), "u long, v long")
+            got = durable(confirm(texts, durable(pairs), threshold, width))
         else:
-            size = rest.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-            rows = rest.join(size, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-            rows = rows.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "component").join(sig, "id")
-            rows = rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
-            pairs = rows.select("band", "lo", "hi", "block", "id", "component", "sig").mapInArrow(lambda b: _blocks(b, threshold, miss), "u long, v long").distinct()
-        pairs = durable(pairs)
-        got = durable(confirm(texts, pairs, threshold, width))
+            got = durable(linked_blocks(texts, rest, sig, threshold, width, miss))
         links = got if links is None else links.union(got)
         labels = components(links)
-        if leader is not None:
+        if led:
             rest = rest.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
             several = rest.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("band")
-            rest = durable(rest.join(several, "band", "left_semi").select("band", "id", "component"))
+            rest = durable(rest.join(several, "band", "left_semi").select("band", "nth", "id", "component"))
     classes = reps.select("digest", F.col("id").alias("rep"))
     if labels is not None:
         classes = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
