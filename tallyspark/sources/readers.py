@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import logging
 from pathlib import Path
 
@@ -15,7 +16,7 @@ from .xlsx import XlsxSource
 
 log = logging.getLogger(__name__)
 LOW_CONFIDENCE = 0.7
-CORRUPT = "__corrupt"
+EXTRA = "__extra"
 
 
 def nulled(df: DataFrame) -> DataFrame:
@@ -38,12 +39,9 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: s
     if not body:
         raise SourceError(f"{path} has no rows")
     sep = NAMED.get(sep, sep) if sep else detect_separator("\n".join(body))
-    import csv
-
     names = next(csv.reader(body[:1], delimiter=sep))
-    unique = [f"{n}\u0000{k}" for k, n in enumerate(names)]
-    schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))] + [T.StructField(CORRUPT, T.StringType())])
-    reader = spark.read.schema(schema).option("sep", sep).option("encoding", "utf-8" if encoding == "utf-8-sig" else encoding).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("quote", '"').option("escape", '"')
+    schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))] + [T.StructField(EXTRA, T.StringType())])
+    reader = spark.read.schema(schema).option("sep", sep).option("encoding", "utf-8" if encoding == "utf-8-sig" else encoding).option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
     if skip_rows or not lines[0].strip():
         leading = next(k for k, x in enumerate(lines) if k >= skip_rows and x.strip())
         kept = spark.read.option("encoding", encoding).text(path).coalesce(1).withColumn("__n", F.monotonically_increasing_id())
@@ -51,10 +49,8 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: s
         df = reader.csv(filled.rdd.map(lambda r: r[0]))
     else:
         df = reader.option("header", True).option("enforceSchema", True).csv(path)
-    fields = F.size(F.split(F.col(CORRUPT), "\\Q" + sep + "\\E", -1))
-    long_ = F.col(CORRUPT).isNotNull() & (fields > len(names))  # short lines are filled with nulls
-    out = nulled(df.filter(~F.coalesce(long_, F.lit(False))).drop(CORRUPT))
-    return out.toDF(*[u.split("\u0000")[0] or f"column_{k}" for k, u in enumerate(unique)])
+    out = nulled(df.filter(F.col(EXTRA).isNull()).drop(EXTRA))  # short lines are filled with nulls
+    return out.toDF(*[n or f"column_{k}" for k, n in enumerate(names)])
 
 
 def read_xlsx(spark: SparkSession, path: str, sheet: str | int | None = None, skip_rows: int = 0) -> DataFrame:
@@ -75,8 +71,6 @@ def read_any(spark: SparkSession, path: str, sheet: str | int | None = None, sep
 
 def reference_values(path: str) -> list[str]:
     """The first column of a short CSV list; a header counts as one only if it is named like an id."""
-    import csv
-
     with open(path, newline="", encoding="utf-8-sig") as f:
         got = [row[0].strip() for row in csv.reader(f) if row and row[0].strip()]
     return got[1:] if got and got[0].lower() in ("vendor_id", "vendor", "id", "code", "name") else got

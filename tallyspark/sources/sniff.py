@@ -20,17 +20,17 @@ def head(path: str | Path, size: int = HEAD) -> bytes:
 
 
 def detect_encoding(data: bytes) -> tuple[str, float]:
-    """(encoding, confidence) of a file's head: by its mark, else UTF-8 if it decodes, else Latin-1 with low confidence."""
+    """(encoding, confidence) of a file's head: by its mark, else UTF-8 if it decodes, else ISO 8859-1 with low confidence."""
     for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
         if data.startswith(mark):
             return name, 1.0
-    for cut in range(4):  # the head may end inside a character
+    for cut in range(4 if len(data) >= HEAD else 1):  # a head may end inside a character
         try:
             text = data[: len(data) - cut].decode("utf-8")
             return "utf-8", 1.0 if text.isascii() else 0.99
         except UnicodeDecodeError:
             continue
-    return "latin-1", 0.5
+    return "iso-8859-1", 0.5
 
 
 def detect_separator(text: str) -> str:
