@@ -2,7 +2,7 @@
 
 A text is parsed into phrases, each the longest string at its place that occurs in a language's training text; the language
 that needs the fewest phrases, normalised by the logarithm of its training length, has the least cross-entropy and wins.
-A parse is a run of a finite automaton (at a dead end the phrase ends and the next begins at the root), so many texts are
+A parse is a run of a finite automaton (at a dead end the phrase ends and the next begins), so many texts are
 parsed in step, one table lookup a character for all of them."""
 
 from __future__ import annotations
@@ -62,12 +62,12 @@ def folded(text: str) -> str:
 @dataclass(frozen=True)
 class LanguageModel:
     """languages; alphabet: code points of the symbols 1, 2, …, in order (0: any other); steps: for each language and state a
-    row of entries 2 * next state + (whether a phrase begins); roots: each language's start; bits: log2 of training lengths."""
+    row of entries 2 * next state + (whether a phrase begins); starts: each language's first state; bits: log2 of training lengths."""
 
     languages: list[str]
     alphabet: np.ndarray
     steps: np.ndarray
-    roots: np.ndarray
+    starts: np.ndarray
     bits: np.ndarray
 
     def encode(self, text: str) -> np.ndarray:
@@ -92,8 +92,8 @@ class LanguageModel:
         order = np.argsort(-length, kind="stable")
         owner, start, length = owner[order], start[order], length[order]
         symbols = len(self.alphabet) + 1
-        state = np.broadcast_to(self.roots, (len(owner), len(self.roots))).copy()
-        found = np.ones(state.shape, np.int32)
+        state = np.broadcast_to(self.starts, (len(owner), len(self.starts))).copy()
+        found = np.zeros(state.shape, np.int32)
         flat, n = self.steps.reshape(-1), len(owner)
         for t in range(int(length[0])):
             while length[n - 1] <= t:
@@ -113,17 +113,19 @@ def build(samples: dict[str, str], symbols: int = 60) -> LanguageModel | None:
         return None
     points, n = np.unique(np.frombuffer("".join(samples.values()).encode("utf-32-le"), np.uint32), return_counts=True)
     alphabet = np.sort(points[np.argsort(-n, kind="stable")[:symbols]])
-    tables, roots, base = [], [], 0
+    tables, starts, base = [], [], 0
     for text in samples.values():
         p = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         at = np.minimum(np.searchsorted(alphabet, p), len(alphabet) - 1)
         to = suffix_automaton(np.where(alphabet[at] == p, at + 1, 0), len(alphabet) + 1)
         to[:, 0] = -1  # characters outside the alphabet match nothing
-        begin = np.where(to[0] >= 0, to[0], 0)  # where a dead end leads: the phrase that starts with this character
+        void = len(to)  # the state between phrases: any character begins one, and ends it too if it occurs nowhere
+        begin = np.where(to[0] >= 0, to[0], void)
+        to = np.vstack([to, np.full((1, to.shape[1]), -1, np.int32)])
         tables.append(np.where(to >= 0, (to + base) * 2, (begin + base)[None, :] * 2 + 1).astype(np.int32))
-        roots.append(base)
+        starts.append(base + void)
         base += len(to)
-    return LanguageModel(list(samples), alphabet, np.concatenate(tables), np.array(roots, np.int32), np.log2([max(2, len(t)) for t in samples.values()]))
+    return LanguageModel(list(samples), alphabet, np.concatenate(tables), np.array(starts, np.int32), np.log2([max(2, len(t)) for t in samples.values()]))
 
 
 def training_text(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, str]:
