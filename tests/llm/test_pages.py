@@ -67,8 +67,8 @@ def test_warc_round_trip_with_magic_in_payloads(spark, tmp_path):
 def test_damaged_archive_is_reported(spark, tmp_path):
     df = spark.createDataFrame([(1, "http://x", "abcdef")], "page_id long, url string, html string")
     write_warc(df, str(tmp_path / "w"))
-    part = next((tmp_path / "w").glob("part-*"))
     for crc in (tmp_path / "w").glob(".*.crc"):
         crc.unlink()
-    part.write_bytes(part.read_bytes().replace(b"abcdef", b"abcdeX"))
+    for part in (tmp_path / "w").glob("part-*"):
+        part.write_bytes(part.read_bytes().replace(b"abcdef", b"abcdeX"))
     assert [r.intact for r in read_warc(spark, str(tmp_path / "w")).collect()] == [False]
