@@ -115,9 +115,27 @@ def brute_tree(texts, depth=lm_score.DEPTH):
         up = 1 / 256 if not w else p(w[1:], a)
         return (counts[len(w)][w, a] + lm_score.SMOOTHING * up) / (total[len(w)][w] + lm_score.SMOOTHING)
 
+    c = Counter(w for t in texts for w in [*t.lower().split(), end])
+
+    def at(s, a):
+        return p(next(s[j:] for j in range(len(s) - depth, len(s) + 1) if s[j:] in kept), a)
+
     def score(t):
-        s = end * depth + " ".join((t or "").lower().split()) + end
-        return sum(math.log10(p(next(s[j:i] for j in range(i - depth, i + 1) if s[j:i] in kept), s[i])) for i in range(depth, len(s)))
+        s, out = end * depth, 0.0
+        for k, w in enumerate([*(t or "").lower().split(), end]):
+            chance = 1.0
+            if k:
+                chance = at(s, end if w == end else " ") / (at(s, " ") + at(s, end))
+                s += " " * (w != end)
+            elif w == end:
+                chance = at(s, end)
+            if w != end:
+                for a in w:
+                    chance *= at(s, a)
+                    s += a
+                chance *= at(s, " ") + at(s, end)
+            out += math.log10(lm_score.WORD_SHARE * c[w] / sum(c.values()) + (1 - lm_score.WORD_SHARE) * chance)
+        return out
 
     return score
 
