@@ -91,9 +91,9 @@ def multi_currency(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def profile(df: DataFrame, row_index: str = "row_index", approximate: bool = False) -> DataFrame:
-    """A row per column: column_name, row_count, null_count, null_ratio, unique_count, samples (the first three values, by row).
+    """A row per column: column_name, row_count, null_count, null_ratio, unique_count (approximate if asked for).
 
-    One aggregation over all columns, whose single row is then unpivoted; samples come from bounded, ordered minima."""
+    One aggregation over all columns, whose single row is then unpivoted; samples() has a column's first values."""
     columns = [c for c in df.columns if c != row_index]
     unique = F.approx_count_distinct if approximate else F.count_distinct
     counts = df.agg(F.count(F.lit(1)).alias("n"), *[x for k, c in enumerate(columns) for x in (F.count_if(F.col(f"`{c}`").isNull()).alias(f"null_{k}"), unique(F.col(f"`{c}`")).alias(f"unique_{k}"))])
