@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,8 +90,3 @@ def shingles_of(text: str | None, width: int = 5) -> np.ndarray:
         got = (got ^ hashed[j : n - width + 1 + j]) * _STEP
         got ^= got >> _SHIFT
     return np.unique(got)
-
-
-def map_text(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow under a name that says what the callers do: a pass over texts in bounded slices."""
-    return df.mapInArrow(work, schema)
