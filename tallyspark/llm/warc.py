@@ -87,14 +87,14 @@ def _candidates(batches, with_payload: bool) -> Iterator[pa.RecordBatch]:
 def reached(links: DataFrame) -> DataFrame:
     """Of links (file, at, next), the places (file, at) that the chain from the file's place 0 reaches.
 
-    Round k knows all places within 2^k records of the start and each place's successor 2^k records on; both are tables."""
-    jump = durable(links.select("file", "at", "next"))
-    found = durable(jump.filter("at = 0").select("file", "at"))
-    while not is_empty(jump):
-        on = found.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))
-        found = durable(found.union(on.join(links.select("file", "at"), ["file", "at"], "left_semi")))
-        jump = durable(jump.join(jump.select("file", F.col("at").alias("next"), F.col("next").alias("far")), ["file", "next"]).select("file", "at", F.col("far").alias("next")))
-    return found
+    After round k each place knows its successor 2^k records on, and those within 2^k records of the start are marked: a
+    marked place marks its successor, then all successors double their distance. One table of all places, rewritten."""
+    places = durable(links.select("file", "at", "next", (F.col("at") == 0).alias("on")))
+    while not is_empty(places.filter("next is not null")):
+        marks = places.filter("on and next is not null").select("file", F.col("next").alias("at"), F.lit(True).alias("mark"))
+        far = places.select("file", F.col("at").alias("next"), F.col("next").alias("far"))
+        places = durable(places.join(marks, ["file", "at"], "left").withColumn("on", F.col("on") | F.coalesce("mark", F.lit(False))).join(far, ["file", "next"], "left").select("file", "at", F.col("far").alias("next"), "on"))
+    return places.filter("on").select("file", "at")
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
