@@ -3,9 +3,9 @@
 A page is read into text lines, one per block, each with a role from the markup around it: main (inside an article or main
 element), furniture (inside menus, headers, footers, sidebars, notices, adverts, forms, comments) or plain. Pages of a host
 are sorted by URL path and each is paired with the page before it (the first with the page after it); their lines are
-aligned by a longest common subsequence and what they share is deleted, furniture being deleted in any case. Lines inside a
-page's own article are not up for deletion: differencing alone would delete sentences that several articles share and keep
-menus and adverts that differ from page to page."""
+aligned by a longest common subsequence. Furniture is deleted in any case, and of the plain lines, on pages with an article
+or without, those that both pages have. Lines inside a page's own article are not up for deletion: differencing alone would
+delete sentences that several articles share and keep menus and adverts that differ from page to page."""
 
 from __future__ import annotations
 
@@ -190,16 +190,15 @@ def _texts(batches) -> Iterator[pa.RecordBatch]:
         texts = []
         for page, gone in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist()):
             got, gone = lines_of(page), set(gone or ())
-            least = MAIN if any(r == MAIN for r, _ in got) else PLAIN
-            texts.append("\n".join(t for i, (r, t) in enumerate(got) if r <= least and i not in gone))
+            texts.append("\n".join(t for i, (r, t) in enumerate(got) if r != FURNITURE and i not in gone))
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id_col, url_col, text, n_chars) of every page.
 
-    The text is what a page's article or main element holds besides furniture; a page without one keeps its plain lines
-    that its neighbour does not share. Null and empty pages have an empty text. Null urls and urls without a host are one
+    The text is what a page's article or main element holds besides furniture, and the page's other lines that are not
+    furniture and that its neighbour does not share, in page order. Null and empty pages have an empty text. Null urls and urls without a host are one
     host; rows that repeat an id count once as neighbours and have a result each; other columns are ignored. Rows with a
     null id are extracted, without differencing."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))

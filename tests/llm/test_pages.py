@@ -44,6 +44,16 @@ def test_pages_without_an_article_lose_the_lines_of_their_neighbour(spark):
     assert [r.text for r in main_text(twice).collect()] == ["x y"] * 2
 
 
+def test_differencing_decides_about_lines_outside_the_article(spark):
+    def page(head, lead, body, after):
+        return f"<body><div>Welcome</div><h1>{head}</h1><p>{lead}</p><nav>menu {head}</nav><article><p>One sentence of both.</p><p>{body}</p></article><div>{after}</div><div>Imprint</div></body>"
+
+    rows = [(1, "http://h/1", page("Head 1", "Lead 1", "Body 1", "More 1")), (2, "http://h/2", page("Head 2", "Lead 2", "Body 2", "All rights")), (3, "http://h/3", page("Head 3", "Lead 3", "Body 3", "All rights"))]
+    got = {r.page_id: r.text.split("\n") for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    both = "One sentence of both."
+    assert got == {1: ["Head 1", "Lead 1", both, "Body 1", "More 1"], 2: ["Head 2", "Lead 2", both, "Body 2", "All rights"], 3: ["Head 3", "Lead 3", both, "Body 3"]}
+
+
 def test_warc_round_trip_with_magic_in_payloads(spark, tmp_path):
     rng = random.Random(2)
     trap = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nHello\r\n\r\nWARC/1.1\r\n\r\n"
