@@ -156,6 +156,16 @@ def test_scores_match_brute_force(spark, monkeypatch):
         assert math.isclose(got[i].score, score(t), rel_tol=1e-4)
 
 
+def test_long_words_count_however_unlikely(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "HEAD_WORDS", 1)
+    train = spark.createDataFrame([(1, "the end of the " + "q" * 1000), (2, "the end")], "doc_id long, text string")
+    rows = [(3, "zx" * 250), (4, "zx" * 500), (5, "the " + "zx" * 500), (6, "the"), (7, "q" * 1000)]
+    got = {r.doc_id: r.score for r in lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), train).collect()}
+    assert got[3] < -400 and got[4] < got[3] - 400 and math.isclose(got[5] - got[4], got[6], abs_tol=5)
+    known = math.log10(lm_score.WORD_SHARE / 9)  # one of 9 tokens of training
+    assert known - 2 < got[7] < 0
+
+
 def test_distributions_sum_to_one(spark):
     df = spark.createDataFrame([(1, "abc abd éé"), (2, "zzz")], "doc_id long, text string")
     counts = df.select("text").mapInArrow(lm_score._counts, "kind int, key long, n long").groupBy("kind", "key").agg({"n": "sum"}).toDF("kind", "key", "n")
