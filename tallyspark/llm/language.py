@@ -29,14 +29,14 @@ UNKNOWN = "und"
 NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
-def suffix_automaton(text: np.ndarray, symbols: int) -> np.ndarray:
-    """Transitions (state, symbol) -> state, -1 where there is none, of the automaton of all substrings of text."""
-    to, link, size, last = [[-1] * symbols], [-1], [0], 0
+def suffix_automaton(text: np.ndarray) -> list[dict[int, int]]:
+    """The transitions, symbol -> state, of each state of the automaton of all substrings of text; state 0 is the first."""
+    to, link, size, last = [{}], [-1], [0], 0
     for c in text.tolist():
         new = len(to)
-        to.append([-1] * symbols), link.append(0), size.append(size[last] + 1)
+        to.append({}), link.append(0), size.append(size[last] + 1)
         p = last
-        while p >= 0 and to[p][c] < 0:
+        while p >= 0 and c not in to[p]:
             to[p][c] = new
             p = link[p]
         if p >= 0:
@@ -45,13 +45,13 @@ def suffix_automaton(text: np.ndarray, symbols: int) -> np.ndarray:
                 link[new] = q
             else:
                 twin = len(to)
-                to.append(to[q][:]), link.append(link[q]), size.append(size[p] + 1)
-                while p >= 0 and to[p][c] == q:
+                to.append(to[q].copy()), link.append(link[q]), size.append(size[p] + 1)
+                while p >= 0 and to[p].get(c) == q:
                     to[p][c] = twin
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    return np.array(to, np.int32)
+    return to
 
 
 def folded(text: str) -> str:
@@ -61,20 +61,39 @@ def folded(text: str) -> str:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """languages; alphabet: code points of the symbols 1, 2, …, in order (0: any other); steps: for each language and state a
-    row of entries 2 * next state + (whether a phrase begins); starts: each language's first state; bits: log2 of training lengths."""
+    """languages; alphabet: code points of all training texts' characters; symbol_of: their symbols, and at last that of any
+    other character, 0; dense: symbols up to it have columns in steps: for each language and state a row of entries
+    2 * next state + (whether a phrase begins); keys, nexts: the transitions of all other symbols, state << 21 | symbol -> state,
+    by key; starts: each language's first state; roots: the states of its empty string; bits: log2 of training lengths."""
 
     languages: list[str]
     alphabet: np.ndarray
+    symbol_of: np.ndarray
+    dense: int
     steps: np.ndarray
+    keys: np.ndarray
+    nexts: np.ndarray
     starts: np.ndarray
+    roots: np.ndarray
     bits: np.ndarray
 
     def encode(self, text: str) -> np.ndarray:
         points = np.frombuffer(folded(text).encode("utf-32-le"), np.uint32)
         at = np.searchsorted(self.alphabet, points)
         at[at == len(self.alphabet)] = 0
-        return np.where(self.alphabet[at] == points, at + 1, 0).astype(np.int32)
+        return self.symbol_of[np.where(self.alphabet[at] == points, at, -1)]
+
+    def rare_entries(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The entries of states (text, language) for symbols without a column."""
+
+        def follow(state: np.ndarray) -> np.ndarray:
+            key = state.astype(np.int64) << 21 | symbol[:, None]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            return np.where(self.keys[at] == key, self.nexts[at], -1)
+
+        go = follow(state)
+        begin = follow(np.broadcast_to(self.roots, state.shape))
+        return np.where(go >= 0, go * 2, np.where(begin >= 0, begin, self.starts) * 2 + 1)
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases that each text needs in each language."""
@@ -91,14 +110,18 @@ class LanguageModel:
         chars, owner, start, length = np.concatenate(coded), np.array(owner), np.array(start), np.array(length)
         order = np.argsort(-length, kind="stable")
         owner, start, length = owner[order], start[order], length[order]
-        symbols = len(self.alphabet) + 1
+        symbols = self.dense + 1
         state = np.broadcast_to(self.starts, (len(owner), len(self.starts))).copy()
         found = np.zeros(state.shape, np.int32)
         flat, n = self.steps.reshape(-1), len(owner)
         for t in range(int(length[0])):
             while length[n - 1] <= t:
                 n -= 1
-            entry = flat[state[:n] * symbols + chars[start[:n] + t][:, None]]
+            c = chars[start[:n] + t]
+            rare = np.flatnonzero(c > self.dense)
+            entry = flat[state[:n] * symbols + (np.where(c > self.dense, 0, c) if len(rare) else c)[:, None]]
+            if len(rare):
+                entry[rare] = self.rare_entries(state[rare], c[rare])
             found[:n] += entry & 1
             state[:n] = entry >> 1
         np.add.at(counts, owner, found)
@@ -106,26 +129,35 @@ class LanguageModel:
 
 
 def build(samples: dict[str, str], symbols: int = 60) -> LanguageModel | None:
-    """From a training text for each language; None if there is none. The alphabet is the most frequent characters of all."""
+    """From a training text for each language; None if there is none. All characters of the texts have transitions; the
+    most frequent ones of all texts, so many as symbols, are looked up faster."""
     samples = {k: " ".join(folded(v).split()) for k, v in sorted(samples.items())}
     samples = {k: v for k, v in samples.items() if v}
     if not samples:
         return None
-    points, n = np.unique(np.frombuffer("".join(samples.values()).encode("utf-32-le"), np.uint32), return_counts=True)
-    alphabet = np.sort(points[np.argsort(-n, kind="stable")[:symbols]])
-    tables, starts, base = [], [], 0
+    alphabet, n = np.unique(np.frombuffer("".join(samples.values()).encode("utf-32-le"), np.uint32), return_counts=True)
+    symbol_of = np.zeros(len(alphabet) + 1, np.int32)
+    symbol_of[np.argsort(-n, kind="stable")] = np.arange(1, len(alphabet) + 1)
+    dense = min(symbols, len(alphabet))
+    tables, keys, nexts, starts, roots, base = [], [], [], [], [], 0
     for text in samples.values():
-        p = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        at = np.minimum(np.searchsorted(alphabet, p), len(alphabet) - 1)
-        to = suffix_automaton(np.where(alphabet[at] == p, at + 1, 0), len(alphabet) + 1)
-        to[:, 0] = -1  # characters outside the alphabet match nothing
-        void = len(to)  # the state between phrases: any character begins one, and ends it too if it occurs nowhere
-        begin = np.where(to[0] >= 0, to[0], void)
-        to = np.vstack([to, np.full((1, to.shape[1]), -1, np.int32)])
-        tables.append(np.where(to >= 0, (to + base) * 2, (begin + base)[None, :] * 2 + 1).astype(np.int32))
-        starts.append(base + void)
-        base += len(to)
-    return LanguageModel(list(samples), alphabet, np.concatenate(tables), np.array(starts, np.int32), np.log2([max(2, len(t)) for t in samples.values()]))
+        links = suffix_automaton(symbol_of[np.searchsorted(alphabet, np.frombuffer(text.encode("utf-32-le"), np.uint32))])
+        void = len(links)  # the state between phrases: any character begins one, and ends it too if it occurs nowhere
+        size = np.fromiter(map(len, links), np.int64, void)
+        own = np.repeat(np.arange(void), size)
+        symbol, to = (np.fromiter((x for d in links for x in part(d)), np.int32, len(own)) for part in (dict.keys, dict.values))
+        go = np.full((void + 1, dense + 1), -1, np.int32)
+        common = symbol <= dense
+        go[own[common], symbol[common]] = to[common]
+        begin = np.where(go[0] >= 0, go[0], void)
+        tables.append(np.where(go >= 0, (go + base) * 2, (begin + base)[None, :] * 2 + 1).astype(np.int32))
+        keys.append((own[~common] + base) << 21 | symbol[~common]), nexts.append(to[~common] + base)
+        starts.append(base + void), roots.append(base)
+        base += void + 1
+    keys, nexts = np.concatenate([*keys, [-1]]), np.concatenate([*nexts, [-1]]).astype(np.int32)
+    order = np.argsort(keys)
+    bits = np.log2([max(2, len(t)) for t in samples.values()])
+    return LanguageModel(list(samples), alphabet, symbol_of, dense, np.concatenate(tables), keys[order], nexts[order], np.array(starts, np.int32), np.array(roots, np.int32), bits)
 
 
 def training_text(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, str]:

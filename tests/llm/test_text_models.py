@@ -78,6 +78,26 @@ def test_phrases_match_a_naive_cross_parse():
         assert got[i].tolist() == [naive_phrases(t, " ".join(language.folded(ref[g]).split())) for g in sorted(LANGS)]
 
 
+SCRIPTS = {"de": "abcdefghijklmnopqrstuvwxyzäöüß", "el": "αβγδεζηθικλμνξοπρστυφχψω", "ja": "あいうえおかきくけこさしすせそたちつてと日本語東京", "ru": "абвгдежзийклмнопрстуфхцчшщ", "uk": "абвгґдеєжзиіїйклмнопрстуф", "zh": "".join(chr(0x4E00 + 7 * k) for k in range(900))}
+
+
+def test_all_characters_of_all_scripts_count(spark):
+    rng = random.Random(4)
+    words = {g: ["".join(rng.choice(c) for _ in range(rng.choice([1, 2, 3, 4]))) for _ in range(150)] for g, c in SCRIPTS.items()}
+
+    def text(g, n):
+        return " ".join(rng.choice(words[g]) for _ in range(n))
+
+    ref = {g: text(g, 4000 if g == "de" else 900 if g in ("ja", "zh") else 700) for g in SCRIPTS}
+    model = language.build(ref)
+    assert set("".join(ref.values())) - {" "} <= {chr(p) for p in model.alphabet}
+    texts = [(i, text(g, 40), g) for i, g in enumerate(sorted(SCRIPTS) * 6)]
+    got = model.phrases([t for _, t, _ in texts])
+    assert [row.tolist() for row in got] == [[naive_phrases(t, ref[g]) for g in sorted(SCRIPTS)] for _, t, _ in texts]
+    df = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language.predict(df, model).collect()} == {i: g for i, _, g in texts}
+
+
 def test_held_out_accuracy_and_odd_texts(spark):
     rows = lang_rows() + [(200, None, "aa"), (201, "", "aa"), (202, "12 !?", "bb"), (203, "balo", None)]
     df = spark.createDataFrame([(i, t, g, 0.5) for i, t, g in rows], "doc_id long, text string, lang string, score double").repartition(3)
