@@ -176,6 +176,15 @@ def test_scores_match_brute_force(spark, monkeypatch):
         assert math.isclose(got[i].score, score(t), rel_tol=1e-4)
 
 
+def test_no_retained_context_is_dropped_by_size(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "TREE_ROWS", 40, raising=False)
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["the", "then", "hen", "of", "often", "end"]) for _ in range(40))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    score = brute_tree([t for _, t in rows])
+    assert all(math.isclose(r.score, score(dict(rows)[r.doc_id]), rel_tol=1e-4) for r in lm_score.lm_scores(df, df).collect())
+
+
 def test_long_words_count_however_unlikely(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "HEAD_WORDS", 1)
     train = spark.createDataFrame([(1, "the end of the " + "q" * 1000), (2, "the end")], "doc_id long, text string")
