@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import by_slices, table
 
-#: Characters of training text for each language, and of one training document.
+#: Characters of training text for each language, and of one training document; a longer document gives stretches of PIECE
+#: characters from all over it.
 TRAIN_CHARS = 60_000
 DOC_CHARS = 3_000
+PIECE = 100
 #: Training documents that are looked at for each language.
 TRAIN_DOCS = 200
 #: A text is parsed in stretches of so many characters, side by side; a phrase ends where a stretch does.
@@ -160,8 +162,35 @@ def build(samples: dict[str, str], symbols: int = 60) -> LanguageModel | None:
     return LanguageModel(list(samples), alphabet, symbol_of, dense, np.concatenate(tables), keys[order], nexts[order], np.array(starts, np.int32), np.array(roots, np.int32), bits)
 
 
+def spread(text: str, most: int) -> str:
+    """The text, or if it is longer than most, stretches of it at even distances from its first to its last character."""
+    if len(text) <= most:
+        return text
+    size, n = min(PIECE, most), max(1, most // PIECE)
+    return "\n".join(text[at : at + size] for at in ([(len(text) - size) * i // (n - 1) for i in range(n)] if n > 1 else [(len(text) - size) // 2]))
+
+
+def level(sizes: list[int], most: int) -> int:
+    """The largest bound, at least 1, whose parts of all sizes, min(size, bound), are most together."""
+    for k, size in enumerate(ordered := sorted(sizes)):
+        if size * (len(ordered) - k) > most:
+            return max(1, most // (len(ordered) - k))
+        most -= size
+    return max(sizes, default=1)
+
+
+def _pieces(text: Column) -> Column:
+    """spread() of a text to DOC_CHARS characters, as a column."""
+    n = DOC_CHARS // PIECE
+    at = lambda i: F.floor((F.length(text) - PIECE) * i / (n - 1)).cast("int") + 1
+    cut = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(text, at(i), F.lit(PIECE)))
+    return F.when(F.length(text) <= DOC_CHARS, text).otherwise(F.array_join(cut, "\n"))
+
+
 def training_text(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, str]:
-    """Up to TRAIN_CHARS characters for each language from at most TRAIN_DOCS documents each, chosen by a hash of the id."""
+    """About TRAIN_CHARS characters for each language from at most TRAIN_DOCS documents each, chosen by a hash of the id.
+
+    All chosen documents give a part: short ones their text, longer ones equally many characters, from all over them."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # a row per language
     share = F.lit(0.0)
@@ -169,12 +198,17 @@ def training_text(docs: DataFrame, id_col: str, text_col: str, lang_col: str) ->
         share = F.when(F.col(lang_col) == lang, min(1.0, TRAIN_DOCS / n)).otherwise(share)
     picked = rows.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < share * 1_000_000)
     got: dict[str, list[str]] = {}
-    for lang, text in picked.select(lang_col, F.substring(F.regexp_replace(text_col, r"\s+", " "), 1, DOC_CHARS), F.xxhash64(id_col).alias("_h")).orderBy("_h").drop("_h").collect():
+    picked = picked.select(F.col(lang_col).alias("_l"), F.regexp_replace(text_col, r"\s+", " ").alias("_t"), F.xxhash64(id_col).alias("_h"))
+    for lang, text, _ in picked.select("_l", _pieces(F.col("_t")), "_h").orderBy("_h").collect():
         got.setdefault(lang, []).append(text)
     for lang in counts.keys() - got.keys():  # so rare that the hash chose none
-        few = rows.filter(F.col(lang_col) == lang).select(id_col, F.substring(text_col, 1, DOC_CHARS).alias("_t"))
-        got[lang] = [r["_t"] for r in few.orderBy(id_col).limit(TRAIN_DOCS).collect()]
-    return {lang: " ".join(texts)[:TRAIN_CHARS] for lang, texts in got.items()}
+        few = rows.filter(F.col(lang_col) == lang).select(F.col(id_col).alias("_i"), F.regexp_replace(text_col, r"\s+", " ").alias("_t"))
+        got[lang] = [r["_p"] for r in few.select("_i", _pieces(F.col("_t")).alias("_p")).orderBy("_i").limit(TRAIN_DOCS).collect()]
+    out = {}
+    for lang, texts in got.items():
+        most = level([len(t) for t in texts], TRAIN_CHARS)
+        out[lang] = " ".join(spread(t, most) for t in texts)
+    return out
 
 
 def _predicted(batches, model: LanguageModel | None) -> Iterator[pa.RecordBatch]:
@@ -198,7 +232,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
     `und` with score 0 for texts that are null, empty or without a letter, and for all without a model. A row per input
     row, repeated or not; a text's other columns are ignored; an empty table gives an empty result."""
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * TRAIN_CHARS states a language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # about 2 * TRAIN_CHARS states a language
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(lambda b: _predicted(b, shared.value), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 

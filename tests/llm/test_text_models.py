@@ -98,6 +98,20 @@ def test_all_characters_of_all_scripts_count(spark):
     assert {r.doc_id: r.lang_pred for r in language.predict(df, model).collect()} == {i: g for i, _, g in texts}
 
 
+def test_training_takes_all_of_each_document(spark):
+    rng = random.Random(9)
+    words = lambda g, n: " ".join("".join(rng.choice(LANGS[g]) for _ in range(3)) for _ in range(n))
+    opening = words("aa", 700)
+    assert len(opening) > language.DOC_CHARS
+    rows = [(i, opening + f" mark{'xyzuvw'[i % 6]}{'abcdefghij'[i % 10]} " + words(g, 1500) + f" {g}tail", g) for i in range(60) for g in ["bb" if i % 2 else "cc"]]
+    got = language.training_text(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    for g in ("bb", "cc"):
+        assert got[g].count(g + "tail") == 30 and 0.9 * language.TRAIN_CHARS < len(got[g]) < 1.1 * language.TRAIN_CHARS
+    df = spark.createDataFrame([(1, words("bb", 60)), (2, words("cc", 60))], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language.predict(df, language.build(got)).collect()} == {1: "bb", 2: "cc"}
+    assert language.spread("abcdef", 9) == "abcdef" and language.spread("x" * 150 + "y" * 50, 100) == "x" * 100 and language.level([5, 100, 100], 65) == 30
+
+
 def test_held_out_accuracy_and_odd_texts(spark):
     rows = lang_rows() + [(200, None, "aa"), (201, "", "aa"), (202, "12 !?", "bb"), (203, "balo", None)]
     df = spark.createDataFrame([(i, t, g, 0.5) for i, t, g in rows], "doc_id long, text string, lang string, score double").repartition(3)
