@@ -35,32 +35,57 @@ WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup "
     "sidebar aside widget related recommended share sharing social breadcrumb breadcrumbs pagination pager comment comments commentlist disqus respond replies nav navbar navigation menu header footer masthead toolbar login search".split()
 )
+#: Those of WORDS that also name wrappers of whole pages and the heads of sections: an article below is none the less one.
+LOOSE = frozenset("banner notice notification alert modal overlay subscribe subscription signup sidebar aside widget share sharing social nav navbar navigation menu header footer masthead toolbar login search".split())
+#: What follows these in a class says what the page around has, not what the element is.
+MODIFIERS = frozenset("has have with without no".split())
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+#: Kinds of furniture: what an article or main element inside undoes, and what it does not.
+WRAPS, FIRM = 1, 2
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?", re.I)
 SPACES = re.compile(r"\s+")
 
 
-def _furnishes(tag: str, attributes: str, inside_main: bool) -> bool:
+def _named(value: str) -> set[str]:
+    """The words of a class or id, without those after a modifier."""
+    found = set()
+    for name in value.split():
+        for word in re.split(r"[_-]+", name):
+            if word in MODIFIERS:
+                break
+            found.add(word)
+    return found
+
+
+def _furnishes(tag: str, attributes: str, inside_main: bool, parent: str) -> int:
+    """0, or the kind of furniture that the element is."""
+    found = 0
     if tag in BOUND or tag == "header" and not inside_main:
-        return True
+        found = FIRM if tag != "form" else 0 if parent == "body" else WRAPS
     if not attributes:
-        return False
+        return found
     for name, *value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(value).lower()
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and not WORDS.isdisjoint(re.split(r"[\s_-]+", value)):
-            return True
-        if name in ("class", "id") and tag in ("article", "main") and not {"comment", "comments", "ad", "advert", "related"}.isdisjoint(re.split(r"[\s_-]+", value)):
-            return True
-    return False
+            return FIRM
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            words = WORDS & _named(value)
+            if words - LOOSE:
+                return FIRM
+            if words and not (inside_main and tag in TEXTUAL):
+                found = found or WRAPS
+        if name in ("class", "id") and tag in ("article", "main") and not {"comment", "comments", "ad", "advert", "related"}.isdisjoint(_named(value)):
+            return FIRM
+    return found
 
 
 def lines_of(page: str | None) -> list[tuple[int, str]]:
     """(role, text) of each block of a whole page, in page order: references decoded, white space one space, trimmed."""
     page = page or ""
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, hidden, furniture, main
-    hidden = furniture = main = False
+    stack: list[tuple[str, bool, int, bool]] = []  # tag, hidden, furniture, main
+    hidden = main = False
+    furniture = 0
     held: list[str] = []
     role, at, end = PLAIN, 0, len(page)
 
@@ -99,10 +124,13 @@ def lines_of(page: str | None) -> list[tuple[int, str]]:
                 close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = close.end() if close else end
                 continue
+            own = _furnishes(tag, m[3], main, stack[-1][0] if stack else "")
+            article = tag in ("article", "main") or "role=\"main\"" in m[3]
+            undone = article and furniture == WRAPS and all(open_[0] != "article" for open_ in stack)
             stack.append((tag, hidden, furniture, main))
             hidden = hidden or tag in HIDDEN
-            furniture = furniture or _furnishes(tag, m[3], main)
-            main = main or tag in ("article", "main") or "role=\"main\"" in m[3]
+            furniture = own if undone else max(furniture, own)
+            main = main or article
     flush()
     return out
 

@@ -29,6 +29,17 @@ def test_structure():
     assert lines_of(None) == lines_of("") == [] and [t for _, t in lines_of("<p>cut <b")] == ["cut"]
 
 
+def test_wrappers_and_headings_are_no_furniture():
+    body = "<article><h2 class='section-header'>Head</h2><p class='share-price'>Text</p><div class='share'>Tweet</div><p class='ad'>Buy</p><form>field</form></article>"
+    texts = lambda page, roles=(0,): [t for r, t in lines_of(page) if r in roles]
+    for before, after in (("", ""), ("<form id='aspnetForm'>", "</form>"), ("<div class='content has-sidebar'>", "</div>"), ("<div><form><div id='page-header-search'>", "</div></form></div>"), ("<div class='layout_with_comments'>", "</div>"), ("<main><form>", "</form></main>")):
+        assert texts(f"<body>{before}{body}{after}</body>") == ["Head", "Text"]
+    assert texts("<body><form id='f'><p>Lead</p></form></body>", (1,)) == texts("<div class='no-sidebar'><p>Lead</p></div>", (1,)) == ["Lead"]
+    for outer in ("nav", "aside", "footer", "div class='comments'", "div class='related has-x'", "div hidden"):
+        assert texts(f"<body><{outer}><article><p>teaser</p></article></{outer.split()[0]}></body>", (0, 1)) == []
+    assert texts("<article><p>a</p><div class='sidebar'><article>b</article></div></article>") == ["a"]
+
+
 def plain(*lines):
     return "<body>" + "".join(f"<div>{x}</div>" for x in lines) + "</body>"
 
