@@ -100,6 +100,15 @@ def three(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RuleEngine([build(r) for r in THREE]).evaluate(keyed(spark, sf_dir, "orders"))
 
 
+def unflagged_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of the customers and of a copy of each with a ruinous balance, which a rule flags, so that the copies go."""
+    rows = keyed(spark, sf_dir, "customer")
+    copies = rows.withColumns({"row_index": -F.col("row_index") - 1, "c_acctbal": F.lit(-1e6).cast(rows.schema["c_acctbal"].dataType)})
+    every = rows.unionByName(copies)
+    flagged = RuleEngine([build({"id": "R001", "name": "Ruinous balance", "severity": "high", "field": "c_acctbal", "condition": "lt", "threshold": -100000})]).evaluate(every)
+    return review.batches(every, flagged, ["c_name"])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(three(spark, sf_dir))
 
@@ -245,7 +254,7 @@ def _plain() -> dict[str, tuple[Query, str]]:
         "norm_text": (lambda s, d: t(s, d, "documents").select("doc_id", F.sha2(coerce.composed("text"), 256).alias("digest")), "SELECT doc_id, sha256(nfc_normalize(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) AS digest FROM documents"),
         "snake_case": (lambda s, d: t(s, d, "customer").select("c_custkey", coerce.snake_column(F.col("c_name")).alias("v")), "SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '_', 'g'), '_') AS v FROM customer"),
         "pii_redact": (lambda s, d: coerce.redact(t(s, d, "customer"), ["c_name"]).select("c_custkey", "c_name"), "SELECT c_custkey, '[REDACTED]' AS c_name FROM customer"),
-        "llm_batches": (lambda s, d: review.batches(keyed(s, d, "customer"), three(s, d).limit(0), ["c_name"]).groupBy("batch").agg(F.count(F.lit(1)).alias("n")), "SELECT c_custkey // 50 AS batch, count(*) AS n FROM customer GROUP BY 1"),
+        "llm_batches": (lambda s, d: unflagged_batches(s, d).groupBy("batch").agg(F.count(F.lit(1)).alias("n")), "SELECT c_custkey // 50 AS batch, count(*) AS n FROM customer GROUP BY 1"),
         "llm_response_validate": (validate_replies, "SELECT 1::BIGINT AS row_index, 'high' AS severity, 0.9::DOUBLE AS confidence"),
         "llm_stats": (lambda s, d: llm_stats(calls(s, d)), "SELECT count(*) AS calls, count(*) FILTER (WHERE event_id % 3 = 0) AS successes, sum(event_id)::BIGINT AS prompt_tokens, sum(event_id % 7)::BIGINT AS response_tokens, round(avg(user_id % 100), 3) AS latency_ms FROM events"),
         "sessions_last_n": (lambda s, d: t(s, d, "events").select(F.col("event_id").alias("session_id"), "ts").orderBy(F.desc("ts"), "session_id").limit(20).select("session_id"), "SELECT event_id AS session_id FROM events ORDER BY ts DESC, event_id LIMIT 20"),

@@ -189,3 +189,14 @@ def test_streams_agree_with_batches(spark, tmp_path):
         q.stop()
         closed = {tuple(r) for r in spark.table(f"q{k}").collect()}
         assert closed and closed <= {tuple(r) for r in f(df).collect()}
+
+
+def test_batches_query_leaves_flagged_rows_out(spark, monkeypatch):
+    from tallyspark import queries
+
+    seen, batches = [], queries.review.batches
+    monkeypatch.setattr(queries.review, "batches", lambda df, flagged, *a: seen.append((df, flagged)) or batches(df, flagged, *a))
+    got = queries.queries()["llm_batches"](spark, "/root/testdata/sf0.001").agg({"n": "sum"}).first()[0]
+    df, flagged = seen[0]
+    hit = flagged.select("row_index").distinct()
+    assert hit.count() > 0 and df.join(hit, "row_index", "left_semi").count() == hit.count() == df.count() - got
