@@ -10,30 +10,56 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
-#: Rows of a join side that may be broadcast after they have been counted.
-BROADCAST_ROWS = 1_000_000
+#: Bytes, as measured, of a join side that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 #: The white space of every contract here, as a regular expression; bytes.split() splits at the same bytes.
 SPACE = r"[\x20\x09-\x0D]"
 #: Bytes of text that a Python worker holds as one slice.
 SLICE_BYTES = 8 << 20
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that lost executors cost no lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir; a temporary one is used only where none is set (tests)."""
-    context = df.sparkSession.sparkContext
+    Only a local session, as in tests, gets a temporary folder where none is set; on a cluster that is an error."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-"))
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if place is None and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="corpus-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared checkpoint folder, so that lost executors cost no lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def join_sized(left: DataFrame, right: DataFrame, on: str | list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """left join right; right, a durable table of narrow rows, is counted and broadcast only up to limit rows.
+def bytes_of(df: DataFrame) -> int:
+    """About the bytes of all rows of df: eight for each value, and the lengths of strings, binaries and arrays."""
+    size = F.lit(8 * len(df.columns))
+    for field in df.schema:
+        kind = field.dataType
+        if isinstance(kind, (StringType, BinaryType)):
+            size = size + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(kind, ArrayType):
+            width = len(kind.elementType) if isinstance(kind.elementType, StructType) else 1
+            size = size + 8 * width * F.greatest(F.size(field.name), F.lit(0))
+    return df.agg(F.sum(size.cast("long"))).first()[0] or 0
+
+
+def sized(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """df, a durable table, marked to be broadcast if it has been measured at up to limit bytes (BROADCAST_BYTES)."""
+    return F.broadcast(df) if bytes_of(df) <= (BROADCAST_BYTES if limit is None else limit) else df
+
 
-    Beyond that it is a shuffled join whose hot keys adaptive execution splits."""
-    return left.join(F.broadcast(right) if right.count() <= limit else right, on, how)
+def join_sized(left: DataFrame, right: DataFrame, on: str | list[str], how: str, limit: int | None = None) -> DataFrame:
+    """left join right, which is broadcast only up to limit bytes; beyond, a shuffled join whose hot keys adaptive execution splits."""
+    return left.join(sized(right, limit), on, how)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +82,7 @@ def by_slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BY
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 

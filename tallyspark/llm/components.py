@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, is_empty
+from .common import durable, is_empty, sized
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     while not is_empty(edges):
         rank = lambda c: F.struct(F.xxhash64(F.col(c)), F.col(c).alias("v"))
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hook = durable(both.groupBy("u").agg(F.min(rank("v")).alias("m")).select("u", F.least("m", rank("u"))["v"].alias("p")))
+        hook = sized(durable(both.groupBy("u").agg(F.min(rank("v")).alias("m")).select("u", F.least("m", rank("u"))["v"].alias("p"))))
         labels = durable(labels.join(hook.toDF("root", "p"), "root", "left").select("id", F.coalesce("p", "root").alias("root")))
         edges = edges.join(hook, "u").select(F.col("v").alias("u"), F.col("p").alias("a")).join(hook, "u").select("a", F.col("p").alias("b"))
         edges = durable(edges.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, durable, join_sized, table
+from .common import BROADCAST_BYTES, durable, join_sized, table
 
 #: What separates words: all but letters, marks and digits.
 BETWEEN = r"[^\p{L}\p{M}\p{N}]+"
@@ -41,14 +41,14 @@ def sketches(items: DataFrame, threshold: float, width: int, extra: int) -> Data
     return sets.select("item", size.alias("size"), (k - slack).alias("need"), F.explode(F.slice("set", F.lit(1), k)).alias("hash"))
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = 0.75, width: int = 5, extra: int = 2, limit: int = BROADCAST_ROWS) -> DataFrame:
+def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = 0.75, width: int = 5, extra: int = 2, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Rows (id_col, item_col, n_shared, n_item, containment): each document with each benchmark item of whose distinct
     word shingles it holds at least the share `threshold`.
 
     Words are runs of letters, marks and digits, lower-cased; texts of fewer than `width` words are one shingle of all
     their words. Null texts, empty texts and texts without words contain nothing and are contained in nothing. Rows that
     repeat an id count as one text with all their shingles; other columns are ignored; empty tables give an empty result.
-    Rows with a null id are left out. Sketches and item sets are broadcast up to `limit` rows and else joined by a shuffle."""
+    Rows with a null id are left out. Sketches and item sets are broadcast up to `limit` bytes and else joined by a shuffle."""
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.col("text"))
     sketch = durable(sketches(items, threshold, width, extra))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, by_slices, durable, table
+from .common import BROADCAST_BYTES, by_slices, durable, join_sized, table
 
 SLOTS = 4
 STRIP = " \t\n\r\x0b\x0c"
@@ -224,19 +224,17 @@ class LineIndex:
         refs = durable(self.refs.join(touched, ["h1", "h2"], "left_anti").union(left))
         return replace(self, postings=postings, refs=refs, filters=self._filters(remove=touched.join(left, ["h1", "h2"], "left_anti")))
 
-    def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BROADCAST_ROWS) -> DataFrame:
+    def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
         """(row: the other columns of docs, n_lines, n_dropped, kept): lines whose key is in several indexed documents go, but for the first's.
 
-        docs must be indexed. The drop lists are broadcast up to `limit` entries; beyond, texts are shuffled by id once."""
+        docs must be indexed. The drop lists are broadcast up to `limit` bytes; beyond, texts are shuffled by id once."""
         shared = durable(self.refs.filter("n > 1").select("h1", "h2", "first"))
-        small = shared.count() <= limit
-        drops = self.postings.join(F.broadcast(shared) if small else shared, ["h1", "h2"]).filter("id <> first")
+        drops = join_sized(self.postings, shared, ["h1", "h2"], "inner", limit).filter("id <> first")
         drops = durable(drops.groupBy("id").agg(F.collect_list("h1").alias("drop")))
-        small = (drops.agg(F.sum(F.size("drop") + 4)).first()[0] or 0) <= limit
         least = self.least
         row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
-        rows = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drops) if small else drops, "id", "left")
-        rows = rows.select("row", "text", "drop")
+        rows = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        rows = join_sized(rows, drops, "id", "left", limit).select("row", "text", "drop")
         return rows.mapInArrow(lambda b: _rebuilt(b, least), f"row {rows.schema['row'].dataType.simpleString()}, n_lines long, n_dropped long, kept string")
 
 
@@ -246,7 +244,7 @@ def empty_index(spark, expected_lines: int = 0, least: int = 10) -> LineIndex:
     return LineIndex(nothing("h1 long, h2 long, id long"), nothing("h1 long, h2 long, n long, first long"), nothing("shard int, data binary"), max(8, -(-expected_lines // SHARD_KEYS)), least)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, increments: int = 2, limit: int = BROADCAST_ROWS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, increments: int = 2, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Index all documents, in so many increments, then drop repeated lines: (row, n_lines, n_dropped, kept), row being the
     columns of docs other than the text.
 

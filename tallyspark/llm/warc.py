@@ -8,7 +8,6 @@ then keeps the places that the chain of records really reaches. A record's magic
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from hashlib import sha256
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, is_empty, join_sized, table
+from .common import durable, is_empty, join_sized, shared_folder, table
 
 MAGIC = b"WARC/1.1\r\n"
 CRLF = "\r\n"
@@ -113,10 +112,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
 
 def shared_place(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-"))
-    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def query(spark, sf_dir: str) -> DataFrame:
