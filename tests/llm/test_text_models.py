@@ -4,6 +4,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.llm import decontaminate, language, lm_score, toxicity
 
@@ -124,104 +126,98 @@ def test_held_out_accuracy_and_odd_texts(spark):
     assert {r.lang_pred for r in language.predict(df, none).collect()} == {"und"}
 
 
-def brute_tree(texts, depth=lm_score.DEPTH):
-    """Symbols, retained contexts and a probability function, all with dictionaries."""
-    end = "\n"
-    streams = [end * depth + " ".join(t.lower().split()) + end for t in texts]
-    counts = [Counter() for _ in range(depth + 1)]
-    for s in streams:
-        for i in range(depth, len(s)):
-            for k in range(depth + 1):
-                counts[k][s[i - k : i], s[i]] += 1
-    total = [Counter() for _ in counts]
-    for k, c in enumerate(counts):
-        for (w, _), n in c.items():
-            total[k][w] += n
-    kept = {""}
-    for k in range(1, depth + 1):
-        for w in total[k]:
-            own = [(a, n) for (x, a), n in counts[k].items() if x == w]
-            gain = sum(n * math.log(n / total[k][w] / (counts[k - 1][w[1:], a] / total[k - 1][w[1:]])) for a, n in own)
-            if gain / len(own) > lm_score.PENALTY:
-                kept.update(w[j:] for j in range(len(w) + 1))
+def brute_scores(train):
+    """A function (n_tokens, n_known, base, score) of a text, with dictionaries only."""
+    tokens = lambda t: [*(t or "").encode().lower().split(), b"\n"]
+    c = Counter(w for t in train for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    words = sorted((w for w in c if w != b"\n"), key=lambda w: (-c[w], lm_score.word_hash(w)))
+    top = set(words[: lm_score.TOP_WORDS])
+    lead = Counter()
+    for w in words:
+        if w not in top:
+            lead[lm_score.lead_of(w)] += c[w]
+    leads = set(sorted(lead, key=lambda x: (-lead[x], x))[: lm_score.LEADS])
+    symbol = lambda w: w if w in top or w == b"\n" else (x if (x := lm_score.lead_of(w)) in leads else "other")
+    mass = Counter({"other": 1, b"\n": 0} | {x: 1 for x in leads})
+    for w in {*c, b"\n"}:
+        mass[symbol(w)] += c[w] + 1
+    counts = [Counter() for _ in range(lm_score.DEPTH + 1)]
+    for t in train:
+        s = ["start"] * lm_score.DEPTH + [symbol(w) for w in tokens(t)]
+        for i in range(lm_score.DEPTH, len(s)):
+            for k in range(lm_score.DEPTH + 1):
+                counts[k][tuple(s[i - k : i]), s[i]] += 1
+    total, after = Counter(), {}
+    for of in counts:
+        for (w, a), m in of.items():
+            total[w] += m
+            after.setdefault(w, {})[a] = m
+    least, kept = max(lm_score.MIN_COUNT, math.ceil(lm_score.LEAST_SHARE * n)), {()}
+    for w, own in after.items():
+        if w and w[:2] != ("start", "start") and total[w] >= least:
+            gain = sum(m * math.log(m / total[w] / (after[w[1:]][a] / total[w[1:]])) for a, m in own.items())
+            if gain > lm_score.PENALTY * len(own):
+                kept.update(w[j:] for j in range(len(w)))
 
     def p(w, a):
-        up = 1 / 256 if not w else p(w[1:], a)
-        return (counts[len(w)][w, a] + lm_score.SMOOTHING * up) / (total[len(w)][w] + lm_score.SMOOTHING)
-
-    c = Counter(w for t in texts for w in [*t.lower().split(), end])
-
-    def at(s, a):
-        return p(next(s[j:] for j in range(len(s) - depth, len(s) + 1) if s[j:] in kept), a)
-
-    def score(t):
-        s, out = end * depth, 0.0
-        for k, w in enumerate([*(t or "").lower().split(), end]):
-            chance = 1.0
-            if k:
-                chance = at(s, end if w == end else " ") / (at(s, " ") + at(s, end))
-                s += " " * (w != end)
-            elif w == end:
-                chance = at(s, end)
-            if w != end:
-                for a in w:
-                    chance *= at(s, a)
-                    s += a
-                chance *= at(s, " ") + at(s, end)
-            out += math.log10(lm_score.WORD_SHARE * c[w] / sum(c.values()) + (1 - lm_score.WORD_SHARE) * chance)
-        return out
-
-    return score
-
-
-def test_scores_match_brute_force(spark, monkeypatch):
-    rng = random.Random(5)
-    rows = [(i, " ".join(rng.choice(["the", "then", "hen", "of", "Often", "end", f"x{rng.randrange(9)}"]) for _ in range(rng.choice([0, 1, 20, 60])))) for i in range(60)] + [(100, None), (101, " \n")]
-    train = [t or "" for i, t in rows if i % 3]
-    monkeypatch.setattr(lm_score, "HEAD_WORDS", 3)
-    df = spark.createDataFrame([(i, t, 1, "s") for i, t in rows], "doc_id long, text string, n int, score string").repartition(3)
-    got = {r.doc_id: r for r in lm_score.lm_scores(df, df.filter("doc_id % 3 != 0")).collect()}
-    c = Counter(w for t in train for w in [*t.lower().split(), "\n"])
-    n, v, score = sum(c.values()), len(c), brute_tree(train)
-    for i, t in rows:
-        words = [*(t or "").lower().split(), "\n"]
-        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(words), sum(w in c for w in words), n)
-        assert math.isclose(got[i].base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words), rel_tol=1e-9)
-        assert math.isclose(got[i].score, score(t), rel_tol=1e-4)
+        if not w:
+            return mass[a] / sum(mass.values())
+        own = after[w]
+        up = total[w] + len(own) - sum(m for m in own.values() if m > 1)
+        return ((own.get(a, 0) if own.get(a, 0) > 1 else 0) + up * p(w[1:], a)) / (total[w] + len(own))
 
+    def scores(t):
+        out, s = 0.0, ["start"] * lm_score.DEPTH + [symbol(w) for w in tokens(t)]
+        for i, w in enumerate(tokens(t), lm_score.DEPTH):
+            context = next(x for j in range(lm_score.DEPTH + 1) if (x := tuple(s[i - lm_score.DEPTH + j : i])) in kept)
+            out += math.log10(p(context, s[i]) * (c[w] + 1) / mass[s[i]])
+        return len(tokens(t)), sum(w in c for w in tokens(t)), sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t)), out
 
-def test_no_retained_context_is_dropped_by_size(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "TREE_ROWS", 40, raising=False)
-    rng = random.Random(6)
-    rows = [(i, " ".join(rng.choice(["the", "then", "hen", "of", "often", "end"]) for _ in range(40))) for i in range(40)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    score = brute_tree([t for _, t in rows])
-    assert all(math.isclose(r.score, score(dict(rows)[r.doc_id]), rel_tol=1e-4) for r in lm_score.lm_scores(df, df).collect())
+    return scores, n, len(kept), (p, kept, mass)
 
 
-def test_long_words_count_however_unlikely(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "HEAD_WORDS", 1)
-    train = spark.createDataFrame([(1, "the end of the " + "q" * 1000), (2, "the end")], "doc_id long, text string")
-    rows = [(3, "zx" * 250), (4, "zx" * 500), (5, "the " + "zx" * 500), (6, "the"), (7, "q" * 1000)]
-    got = {r.doc_id: r.score for r in lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), train).collect()}
-    assert got[3] < -400 and got[4] < got[3] - 400 and math.isclose(got[5] - got[4], got[6], abs_tol=5)
-    known = math.log10(lm_score.WORD_SHARE / 9)  # one of 9 tokens of training
-    assert known - 2 < got[7] < 0
+def lm_rows():
+    rng = random.Random(5)
+    after = {"the": ["end", "hen", "Often"], "of": ["the", "then"], "end": ["of", "the"]}
+    rows = []
+    for i in range(90):
+        words = []
+        for _ in range(rng.choice([0, 1, 20, 60])):
+            words.append(rng.choice(after.get(words[-1] if words else "", ["the", "of", "end", f"x{rng.randrange(30)}", f"é{rng.randrange(9)}"])))
+        rows.append((i, " ".join(words)))
+    return rows + [(100, None), (101, " \n"), (102, "zx" * 9000), (103, "the " * 3000)]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_scores_match_brute_force(spark, monkeypatch, small):
+    rows = lm_rows()
+    if small:  # words outside the head, few symbols, counts handed on often
+        for name, value in {"HEAD_WORDS": 4, "TOP_WORDS": 3, "LEADS": 2, "HOLD": 5}.items():
+            monkeypatch.setattr(lm_score, name, value)
+    df = spark.createDataFrame([(i, t, 1, "s") for i, t in rows], "doc_id long, text string, n int, score string").repartition(3)
+    got = {r.doc_id: r for r in lm_score.lm_scores(df, F.col("doc_id") % 3 != 0).collect()}
+    brute, n, kept, _ = brute_scores([t for i, t in rows if i % 3])
+    assert kept > 5 and len(got) == len(rows)
+    for i, t in rows:
+        n_tokens, n_known, base, score = brute(t)
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (n_tokens, n_known, n)
+        assert math.isclose(got[i].base_score, base, rel_tol=1e-9, abs_tol=1e-9) and math.isclose(got[i].score, score, rel_tol=1e-5)
+    held = [i for i, _ in rows if i % 3 == 0]
+    assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
 
 
-def test_distributions_sum_to_one(spark):
-    df = spark.createDataFrame([(1, "abc abd éé"), (2, "zzz")], "doc_id long, text string")
-    counts = df.select("text").mapInArrow(lm_score._counts, "kind int, key long, n long").groupBy("kind", "key").agg({"n": "sum"}).toDF("kind", "key", "n")
-    tree = lm_score.grow(counts.filter("kind = 1").select("key", "n"))
-    p = 10.0 ** tree.log10p[:, tree.symbol_of]
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
+def test_distributions_sum_to_one():
+    _, _, _, (p, kept, mass) = brute_scores([t for _, t in lm_rows()])
+    assert all(math.isclose(sum(p(w, a) for a in mass), 1) for w in kept)
 
 
 def test_scores_without_training_or_rows(spark):
-    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
-    r = lm_score.lm_scores(df, df.limit(0)).first()
-    assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and math.isclose(r.score, 4 * math.log10(1 / 256), rel_tol=1e-5)
-    assert lm_score.lm_scores(df.limit(0), df).count() == 0
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
+    got = lm_score.lm_scores(df, F.lit(False)).collect()
+    assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got) == [(2, 0, 0, 0.0), (3, 0, 0, 0.0), (3, 0, 0, 0.0)]
+    assert all(math.isclose(r.score, r.n_tokens * math.log10(0.5), rel_tol=1e-6) for r in got)
+    assert lm_score.lm_scores(df.limit(0), F.lit(True)).count() == 0
 
 
 def toxic_rows():
