@@ -91,5 +91,9 @@ def test_exact_dedup_matches_brute_force(spark):
     assert {r[:4] for r in lazily} == {r[:4] for r in want} and all(r[4] is None or r in want for r in lazily)
     assert sum(r[4] is None for r in lazily) > 0
     assert exact_dedup(df.limit(0), digest_all=True).count() == 0
+    for digest_all in (True, False):
+        odd = spark.createDataFrame([(None, "a b"), (2, "ab"), (3, "ab"), (1, "cd"), (1, "ef"), (4, "cd"), (5, "ef"), (None, "x" * 99999), (None, "x" * 99999)], "doc_id long, text string")
+        got = sorted((tuple(r)[:4] for r in exact_dedup(odd, digest_all=digest_all).collect()), key=repr)
+        assert got == sorted([(None, None, 3, True), (2, None, 3, False), (3, None, 3, False), (1, 1, 2, True), (1, 1, 2, True), (4, 1, 2, False), (5, 1, 2, False), (None, None, 2, True), (None, None, 2, True)], key=repr)
     twice = exact_dedup(spark.createDataFrame([(1, "a"), (1, "a")], "doc_id long, text string"), digest_all=True)
     assert [tuple(r)[:4] for r in twice.collect()] == [(1, 1, 2, True)] * 2
