@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import by_slices, durable, join_sized, table
+from .common import by_slices, durable, join_sized, small_batches, table
 
 MAIN, PLAIN, FURNITURE = 0, 1, 2
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -44,6 +44,8 @@ TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 WRAPS, FIRM = 1, 2
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?", re.I)
 SPACES = re.compile(r"\s+")
+#: Pairs of equal lines that are searched directly.
+FEW_PLACES = 4096
 
 
 def _named(value: str) -> set[str]:
@@ -135,11 +137,8 @@ def lines_of(page: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def shared_lines(a: list[int], b: list[int]) -> list[int]:
+def _few_places(a: list[int], b: list[int], places: dict[int, list[int]]) -> list[int]:
     """Places of a in a longest common subsequence of a and b (Hunt and Szymanski's, over equal places from the right)."""
-    places: dict[int, list[int]] = {}
-    for j in range(len(b) - 1, -1, -1):
-        places.setdefault(b[j], []).append(j)
     tails: list[int] = []
     nodes: list[tuple] = []
     for i, x in enumerate(a):
@@ -157,6 +156,49 @@ def shared_lines(a: list[int], b: list[int]) -> list[int]:
     return found[::-1]
 
 
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of a and each beginning of b, the empty one first; a bit for each line of b."""
+    marks: dict[int, int] = {}
+    for j, x in enumerate(b):
+        marks[x] = marks.get(x, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    row = every
+    for x in a:
+        if x in marks:
+            both = row & marks[x]
+            row = ((row + both) | (row - both)) & every
+    zero = 1 - np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(zero, dtype=np.int64)])
+
+
+def shared_lines(a: list[int], b: list[int]) -> list[int]:
+    """Places of a in a longest common subsequence of a and b, in linear space however often lines repeat: common ends go
+    first; where few places are equal they are searched directly, else a is halved where the lengths say (Hirschberg's)."""
+    found: list[int] = []
+    work = [(0, len(a), 0, len(b))]
+    while work:
+        a0, a1, b0, b1 = work.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            found.append(a0)
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            found.append(a1)
+        if a0 == a1 or b0 == b1:
+            continue
+        own, other = a[a0:a1], b[b0:b1]
+        places: dict[int, list[int]] = {}
+        for j in range(len(other) - 1, -1, -1):
+            places.setdefault(other[j], []).append(j)
+        if sum(len(places.get(x, ())) for x in own) <= FEW_PLACES or len(own) == 1:
+            found += [a0 + i for i in _few_places(own, other, places)]
+            continue
+        half = len(own) // 2
+        k = int((_lengths(own[:half], other) + _lengths(own[half:][::-1], other[::-1])[::-1]).argmax())
+        work += [(a0, a0 + half, b0, b0 + k), (a0 + half, a1, b0 + k, b1)]
+    return sorted(found)
+
+
 def _outlined(batches) -> Iterator[pa.RecordBatch]:
     """Pages (id, html) -> the roles and line hashes of pages that have lines which differencing may delete."""
     for batch in by_slices(batches, "html"):
@@ -229,6 +271,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     furniture and that its neighbour does not share, in page order. Null and empty pages have an empty text. Null urls and urls without a host are one
     host; rows that repeat an id count once as neighbours and have a result each; other columns are ignored. Rows with a
     null id are extracted, without differencing."""
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", "")

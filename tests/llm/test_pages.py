@@ -1,11 +1,17 @@
 import hashlib
 import random
+import time
 
+import pytest
+
+from tallyspark.llm import html_text
 from tallyspark.llm.html_text import lines_of, main_text, shared_lines
 from tallyspark.llm.warc import read_warc, write_warc
 
 
-def test_longest_common_subsequence():
+@pytest.mark.parametrize("few", [0, 4096])
+def test_longest_common_subsequence(monkeypatch, few):
+    monkeypatch.setattr(html_text, "FEW_PLACES", few)
     rng = random.Random(1)
     for _ in range(300):
         a, b = ([rng.randrange(5) for _ in range(rng.randrange(9))] for _ in range(2))
@@ -18,6 +24,15 @@ def test_longest_common_subsequence():
         assert len(got) == t[-1][-1] and got == sorted(set(got)) and all(a[i] in it for i in got)
 
 
+def test_many_equal_lines_end_soon():
+    began = time.time()
+    n = 20_000
+    assert len(shared_lines([7] * n, [7] * (n - 5))) == n - 5
+    a, b = [1, 7, 2] * n, [7, 3] * n
+    got = shared_lines(a, b)
+    assert len(got) == n and all(a[i] == 7 for i in got) and time.time() - began < 60
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>no";</script></head><body><nav><ul><li><a>Menu</a></li></ul></nav><!-- <p>gone</p> --><div class="ad">Buy</div>
 <article><h1>Head &amp; tail &lt;b&gt;</h1><header><p>By me</p></header><p><b>One  two
 three<br><p>Fo<i>ur</i> &#233;&nbsp;x</p><p></p><aside>side</aside><form>f<input></form><div class="cookie-notice">c</div><pre>a > b</pre><section id="comments"><p>first!</p></section></article><footer>foot</footer></body></html>"""
