@@ -16,6 +16,8 @@ from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 BROADCAST_BYTES = 32 << 20
 #: The white space of every contract here, as a regular expression; bytes.split() splits at the same bytes.
 SPACE = r"[\x20\x09-\x0D]"
+#: Rows in an Arrow batch at most.
+BATCH_ROWS = 2000
 #: Bytes of text that a Python worker holds as one slice.
 SLICE_BYTES = 8 << 20
 
@@ -66,6 +68,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands Python workers at most BATCH_ROWS rows, and about SLICE_BYTES bytes, at once: texts may
+    be long, and batches are held by the executor and by its workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", SLICE_BYTES)
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 

@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import by_slices, table
+from .common import by_slices, small_batches, table
 
 TOKENIZER = "word_bpe_49k.json"
 TIERS = (256, 512, 1024, 2048)
@@ -36,7 +37,7 @@ class WordIds(dict):
     The tokenizer drops white space and never joins what it separates, so a text's ids are those of its strings in turn.
     Runs of letters and of marks, which are most strings, go to the BPE model piece by piece; all others to the tokenizer."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 60_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -156,29 +157,38 @@ class Packer:
         return out
 
 
+def step_groups(windows: dict[int, int], tiers: tuple[int, ...], step_tokens: int, first: int) -> tuple[dict[int, int], int]:
+    """Windows (sequence -> its length) -> (sequence -> step group, the next free group)."""
+    of: dict[int, int] = {}
+    tokens: dict[int, int] = {}
+    for tier in tiers:
+        own = [s for s, t in windows.items() if t == tier]
+        n = max(1, round(len(own) * tier / step_tokens)) if own else 0
+        for k, s in enumerate(own):
+            of[s] = first + k % n
+            tokens[of[s]] = tokens.get(of[s], 0) + tier
+        first += n
+    for s in sorted(windows.keys() - of.keys(), key=lambda s: (-windows[s], s)):
+        if not tokens:
+            tokens[first], first = 0, first + 1
+        of[s] = min(tokens, key=lambda g: (tokens[g], g))
+        tokens[of[s]] += windows[s]
+    return of, first
+
+
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
 def _packed(batches, path: str, end: int, tiers: tuple[int, ...], step_tokens: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     packer, gathered = Packer(TaskContext.get().partitionId() << 32, tiers), 0
-    steps: dict[int, list[int]] = {}  # by tier: the open step group and its tokens
     groups = TaskContext.get().partitionId() << 32
-    of: dict[int, int] = {}
 
     def written() -> Iterator[pa.RecordBatch]:
         nonlocal groups
         rows = packer.rows()
-        for *_, tier, sequence, _ in rows:
-            if sequence not in of:
-                group = steps.get(tier)
-                if group is None or group[1] + tier > step_tokens:
-                    group = steps[tier] = [groups, 0]
-                    groups += 1
-                group[1] += tier
-                of[sequence] = group[0]
+        of, groups = step_groups({r[6]: r[5] for r in rows}, tiers, step_tokens, groups)
         cols = list(zip(*rows)) or [()] * 8
         arrays = [pa.array(cols[0], id_type), *(pa.array(c, pa.int64()) for c in cols[1:5]), pa.array(cols[6], pa.int64()), pa.array(cols[7], pa.int64()), pa.array(cols[5], pa.int32()), pa.array([of[s] for s in cols[6]], pa.int64())]
-        of.clear()
         yield pa.RecordBatch.from_arrays(arrays, ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"])
 
     for batch in by_slices(batches, "text", 2 << 20):
@@ -196,16 +206,20 @@ def _packed(batches, path: str, end: int, tiers: tuple[int, ...], step_tokens: i
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end: int = END, tiers: tuple[int, ...] = TIERS, step_tokens: int = 65_536) -> DataFrame:
     """A row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier (the window's length) and
-    step_group (windows of one tier that fill one training step of step_tokens, so steps are of equal size).
+    step_group (windows of one tier for one training step of about step_tokens).
+
+    Some million tokens at a time, each tier's windows are dealt in turn to as many step groups as their tokens fill, so
+    groups differ by one window; windows shorter than the shortest tier go to the smallest group of their batch.
 
     tiers: ascending powers of two; the last is the longest window. Each id of each document, and its end id, lies in
     exactly one piece. Null and empty texts are the end id alone. Rows are packed one by one, repeated or not; other
     columns are ignored; an empty table gives an empty result. A split's rows go to its own windows, so a lost task is
     simply run again, and the padding is nil."""
+    small_batches(docs.sparkSession)
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow = to_arrow_type(docs.schema[id_col].dataType)
     return rows.mapInArrow(lambda b: _packed(b, path, end, tiers, step_tokens, arrow), f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
 
 

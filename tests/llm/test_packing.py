@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyspark.llm.packing import pack_documents, token_bytes
+from tallyspark.llm.packing import TIERS, pack_documents, step_groups, token_bytes
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -46,6 +46,16 @@ def test_every_id_lies_in_one_piece_and_windows_are_full(spark):
         assert len({r.step_group for r in own}) == 1
 
 
+def test_step_groups_are_balanced():
+    windows = {s: (2048 if s < 70 else 512 if s < 200 else 64) for s in range(203)}
+    of, free = step_groups(windows, TIERS, 65_536, 10)
+    assert of.keys() == windows.keys() and free == max(of.values()) + 1
+    for tier in (512, 2048):
+        sizes = [sum(of[s] == g for s, t in windows.items() if t == tier) for g in {of[s] for s, t in windows.items() if t == tier}]
+        assert max(sizes) - min(sizes) <= 1 and abs(sum(sizes) / len(sizes) * tier - 65_536) < 40_000
+    assert step_groups({1: 4}, TIERS, 65_536, 0) == ({1: 0}, 1) and step_groups({}, TIERS, 65_536, 3) == ({}, 3)
+
+
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
