@@ -3,7 +3,9 @@
 A text is parsed into phrases, each the longest string at its place that occurs in a language's training text; the language
 that needs the fewest phrases, normalised by the logarithm of its training length, has the least cross-entropy and wins.
 A parse is a run of a finite automaton (at a dead end the phrase ends and the next begins), so many texts are
-parsed in step, one table lookup a character for all of them."""
+parsed in step, one table lookup a character for all of them. Long texts are cut into stretches that are parsed side by
+side, each as if a phrase began there; then the parse of the stretch before is carried on into each until it meets the
+stretch's own, from where on they are the same. So the phrases are those of the whole text, wherever it was cut."""
 
 from __future__ import annotations
 
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slices, table
+from .common import by_slices, small_batches, table
 
 #: Characters of training text for each language, and of one training document; a longer document gives stretches of PIECE
 #: characters from all over it.
@@ -25,7 +27,7 @@ DOC_CHARS = 3_000
 PIECE = 100
 #: Training documents that are looked at for each language.
 TRAIN_DOCS = 200
-#: A text is parsed in stretches of so many characters, side by side; a phrase ends where a stretch does.
+#: A text is parsed in stretches of so many characters, side by side; phrases across their bounds are mended afterwards.
 STRETCH = 1024
 UNKNOWN = "und"
 NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -97,38 +99,65 @@ class LanguageModel:
         begin = follow(np.broadcast_to(self.roots, state.shape))
         return np.where(go >= 0, go * 2, np.where(begin >= 0, begin, self.starts) * 2 + 1)
 
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The entries of states (text, language) for each text's next character."""
+        rare = np.flatnonzero(c > self.dense)
+        entry = self.steps.reshape(-1)[state * (self.dense + 1) + (np.where(c > self.dense, 0, c) if len(rare) else c)[:, None]]
+        if len(rare):
+            entry[rare] = self.rare_entries(state[rare], c[rare])
+        return entry
+
     def phrases(self, texts: list[str]) -> np.ndarray:
-        """Phrases that each text needs in each language."""
+        """Phrases that each whole text needs in each language."""
         coded = [self.encode(t) for t in texts]
-        owner, start, length = [], [], []
-        at = 0
-        for i, c in enumerate(coded):
-            for s in range(0, len(c), STRETCH):
-                owner.append(i), start.append(at + s), length.append(min(STRETCH, len(c) - s))
-            at += len(c)
         counts = np.zeros((len(texts), len(self.languages)), np.int64)
-        if not owner:
+        owner = np.repeat(np.arange(len(texts)), [-(-len(c) // STRETCH) for c in coded])
+        if not len(owner):
             return counts
-        chars, owner, start, length = np.concatenate(coded), np.array(owner), np.array(start), np.array(length)
+        chars = np.concatenate(coded)
+        sizes = np.array([len(c) for c in coded])
+        nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        start = (np.cumsum(sizes) - sizes)[owner] + nth * STRETCH
+        length = np.minimum(STRETCH, sizes[owner] - nth * STRETCH)
         order = np.argsort(-length, kind="stable")
-        owner, start, length = owner[order], start[order], length[order]
-        symbols = self.dense + 1
         state = np.broadcast_to(self.starts, (len(owner), len(self.starts))).copy()
-        found = np.zeros(state.shape, np.int32)
-        flat, n = self.steps.reshape(-1), len(owner)
-        for t in range(int(length[0])):
-            while length[n - 1] <= t:
+        found = np.zeros(state.shape, np.int64)
+        own, n = state[order], len(order)
+        seen, ends, begin = np.zeros(own.shape, np.int32), length[order], start[order]
+        for t in range(int(ends[0])):
+            while ends[n - 1] <= t:
                 n -= 1
-            c = chars[start[:n] + t]
-            rare = np.flatnonzero(c > self.dense)
-            entry = flat[state[:n] * symbols + (np.where(c > self.dense, 0, c) if len(rare) else c)[:, None]]
-            if len(rare):
-                entry[rare] = self.rare_entries(state[rare], c[rare])
-            found[:n] += entry & 1
-            state[:n] = entry >> 1
-        np.add.at(counts, owner, found)
+            entry = self.step(own[:n], chars[begin[:n] + t])
+            seen[:n] += entry & 1
+            own[:n] = entry >> 1
+        state[order], found[order] = own, seen
+        np.add.at(counts, owner, found + self._carried(chars, start, length, nth > 0, state))
         return counts
 
+    def _carried(self, chars: np.ndarray, start: np.ndarray, length: np.ndarray, follows: np.ndarray, alone_last: np.ndarray) -> np.ndarray:
+        """What each stretch's phrases change by when it goes on from the state in which the one before it, if it follows, ends.
+
+        alone_last: the states in which the stretches end, parsed alone. One that never meets its own parse ends in another
+        state, and the stretch after it is done again."""
+        extra, last = np.zeros(alone_last.shape, np.int64), alone_last.copy()
+        todo = np.flatnonzero(follows)
+        while len(todo):
+            on, t, true, before = todo, 0, last[todo - 1], last[todo]
+            alone = np.broadcast_to(self.starts, true.shape)
+            extra[todo], last[todo] = 0, alone_last[todo]
+            while len(on):
+                over = length[on] == t
+                last[on[over]] = true[over]
+                apart = ~over & (true != alone).any(axis=1)
+                on, true, alone = on[apart], true[apart], alone[apart]
+                c = chars[start[on] + t]
+                a, b = self.step(true, c), self.step(alone, c)
+                extra[on] += (a & 1) - (b & 1)
+                true, alone, t = a >> 1, b >> 1, t + 1
+            after = todo[(last[todo] != before).any(axis=1)] + 1
+            todo = after[(after < len(follows)) & follows[np.minimum(after, len(follows) - 1)]]
+        return extra
+
 
 def build(samples: dict[str, str], symbols: int = 60) -> LanguageModel | None:
     """From a training text for each language; None if there is none. All characters of the texts have transitions; the
@@ -232,6 +261,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
     `und` with score 0 for texts that are null, empty or without a letter, and for all without a model. A row per input
     row, repeated or not; a text's other columns are ignored; an empty table gives an empty result."""
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # about 2 * TRAIN_CHARS states a language
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(lambda b: _predicted(b, shared.value), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)

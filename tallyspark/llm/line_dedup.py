@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, by_slices, durable, join_sized, table
+from .common import BROADCAST_BYTES, by_slices, durable, join_sized, small_batches, table
 
 SLOTS = 4
 STRIP = " \t\n\r\x0b\x0c"
@@ -251,6 +251,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of at least `least` code points
     that are in several documents lose their lines in all but the smallest id. Null and empty texts are one empty line.
     Rows that repeat an id count as one document. Other columns are ignored; an empty table gives an empty result."""
+    small_batches(docs.sparkSession)
     lines = docs.agg(F.sum(F.size(F.split(F.col(text_col), "\n", -1)))).first()[0] or 0
     index = empty_index(docs.sparkSession, lines, least)
     for k in range(increments):

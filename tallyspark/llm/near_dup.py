@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slices, durable, is_empty, join_sized, shingles_of, table
+from .common import by_slices, durable, is_empty, join_sized, shingles_of, small_batches, table
 from .components import components
 
 HASHES, ROWS, BATCH = 128, 4, 16
@@ -260,6 +260,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id reachable over links. Rows that repeat an id share its row's result. Ids are long;
     a row with a null id is its own component, null, and stays. Other columns are ignored; an empty table gives an empty
     result. Banding misses a pair at similarity s with probability (1 - s^4)^32 (5e-6 at 0.75), pruning with `miss`."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = durable(texts.mapInArrow(lambda b: _signed(b, width), "id long, n_shingles long, digest binary, sig binary"))
     reps = durable(signed.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))

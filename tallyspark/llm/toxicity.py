@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slices, table, words_of
+from .common import by_slices, small_batches, table, words_of
 
 #: Hash space of features while they are selected, and lengths of the word prefixes that are features beside whole words.
 BINS = 1 << 22
@@ -49,19 +49,21 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, most_feat
     Features are chosen by a smoothed log-odds test between grade 0 and the rest; then weights and thresholds minimise
     the cumulative-link likelihood, grade 0 and the others weighted alike, by gradient steps over the sparse rows."""
     toxic = grades > 0
-    df = [np.bincount(np.concatenate([np.empty(0, np.int64), *(r[0] for r, t in zip(rows, toxic) if t == side)]), minlength=BINS) for side in (False, True)]
+    sides = [np.unique(np.concatenate([np.empty(0, np.uint32), *(r[0] for r, t in zip(rows, toxic) if t == side)]), return_counts=True) for side in (False, True)]
+    features = np.union1d(sides[0][0], sides[1][0])
+    df = np.zeros((2, len(features)), np.int64)
+    for side, (own, count) in enumerate(sides):
+        df[side, np.searchsorted(features, own)] = count
     n = [max(1, int((toxic == side).sum())) for side in (False, True)]
     odds = np.log((df[1] + 0.5) / (n[1] + 1)) - np.log((df[0] + 0.5) / (n[0] + 1))
     fit_for = np.flatnonzero((df[1] >= max(3, n[1] // 1000)) & (odds > 2))
     gain = odds[fit_for] * df[1][fit_for]
-    chosen = np.sort(fit_for[np.argsort(-gain, kind="stable")[:most_features]])
+    chosen = features[np.sort(fit_for[np.argsort(-gain, kind="stable")[:most_features]])]
     index = {int(f): i for i, f in enumerate(chosen)}
-    place = np.full(BINS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
     row, col, val = [], [], []
     for i, (f, c) in enumerate(rows):
-        at = place[f]
-        keep = at >= 0
+        at = np.minimum(np.searchsorted(chosen, f), max(0, len(chosen) - 1))
+        keep = chosen[at] == f if len(chosen) else np.zeros(len(f), bool)
         row.append(np.full(int(keep.sum()), i)), col.append(at[keep]), val.append(np.log1p(c[keep]))
     row, col, val = (np.concatenate(x) if x else np.empty(0) for x in (row, col, val))
     row, col = row.astype(np.int64), col.astype(np.int64)
@@ -93,7 +95,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, most_feat
 class _Known(dict):
     """Words' features in the model, as (column, ...) tuples, remembered up to a bound."""
 
-    def __init__(self, index: dict[int, int], most: int = 400_000):
+    def __init__(self, index: dict[int, int], most: int = 60_000):
         super().__init__()
         self.index, self.most = index, most
 
@@ -107,7 +109,7 @@ class _Known(dict):
 def _extracted(batches) -> Iterator[pa.RecordBatch]:
     for batch in by_slices(batches, "text"):
         rows = [counted(text, features_of) for text in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([r[0].astype(np.uint32).tobytes() for r in rows], pa.binary()), pa.array([np.minimum(r[1], 255).astype(np.uint8).tobytes() for r in rows], pa.binary())], ["grade", "features", "counts"])
+        yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([r[0].astype(np.uint32).tobytes() for r in rows], pa.binary()), pa.array([r[1].astype(np.uint32).tobytes() for r in rows], pa.binary())], ["grade", "features", "counts"])
 
 
 def _scored(batches, model: OrdinalModel) -> Iterator[pa.RecordBatch]:
@@ -136,10 +138,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Grade 0: label 0. Rows labelled 1 are split at the median of their evidence, the summed log-odds of their features in
     a first, two-grade fit: grade 1 below, 2 from there on. None where either label has no row."""
+    small_batches(docs.sparkSession)
     sample = sample_labelled(docs.select(id_col, text_col), labels, id_col, label_col, most)
     got = sample.select(F.col(text_col).alias("text"), "grade").mapInArrow(_extracted, "grade int, features binary, counts binary").collect()
     got.sort(key=lambda r: (r["grade"], bytes(r["features"])))
-    rows = [(np.frombuffer(r["features"], np.uint32).astype(np.int64), np.frombuffer(r["counts"], np.uint8).astype(np.int64)) for r in got]
+    rows = [(np.frombuffer(r["features"], np.uint32), np.frombuffer(r["counts"], np.uint32)) for r in got]
     grades = np.array([r["grade"] for r in got], np.int64)
     if len(set(grades)) < 2:
         return None

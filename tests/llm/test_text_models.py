@@ -70,13 +70,16 @@ def naive_phrases(text, reference):
     return n
 
 
-def test_phrases_match_a_naive_cross_parse():
+@pytest.mark.parametrize("stretch", [1, 2, 7, 1024])
+def test_phrases_match_a_naive_cross_parse(monkeypatch, stretch):
+    monkeypatch.setattr(language, "STRETCH", stretch)
     rows = lang_rows(30)
     ref = {g: " ".join(t for _, t, x in rows[:20] if x == g)[:1500] for g in LANGS}
     model = language.build(ref)
-    texts = [t[: language.STRETCH] for _, t, _ in rows] + ["", "ñandú ΩΩ 12", "b"]
+    texts = [t for _, t, _ in rows] + ["", "ñandú ΩΩ 12", "b", "b" * 1024, ref["aa"], ref["aa"] + ref["aa"][:700], "x" * 1025]
+    assert max(map(len, texts)) > 5000
     got = model.phrases(texts)
-    for i, t in enumerate(texts[:30]):
+    for i, t in enumerate(texts):
         assert got[i].tolist() == [naive_phrases(t, " ".join(language.folded(ref[g]).split())) for g in sorted(LANGS)]
 
 
@@ -250,6 +253,36 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_likelihood_and_gradient_of_the_ordinal_fit():
+    """The weights of a fit are where the penalised likelihood, written out, has no slope."""
+    rng = np.random.default_rng(1)
+    grades = np.r_[np.zeros(60, int), np.ones(40, int), np.full(40, 2)]
+    rows = [(np.flatnonzero(rng.random(6) < (0.1 if g == 0 else 0.35 + 0.2 * g)).astype(np.uint32), None) for g in grades]
+    rows = [(f, rng.integers(1, 400, len(f))) for f, _ in rows]
+    model = toxicity.fit(rows, grades, steps=4000, l2=1e-2)
+    share = np.where(grades > 0, 0.5 / 80, 0.5 / 60)
+
+    def loss(w, theta):
+        x = np.array([sum(w[model.index[int(f)]] * np.log1p(n) for f, n in zip(*r) if int(f) in model.index) for r in rows])
+        above = np.column_stack([np.ones(len(x)), 1 / (1 + np.exp(-(x[:, None] - theta))), np.zeros(len(x))])
+        return -(share * np.log(above[np.arange(len(x)), grades] - above[np.arange(len(x)), grades + 1])).sum() + 0.5e-2 * (w**2).sum()
+
+    best = loss(model.weights, model.thresholds)
+    for k in range(len(model.weights)):
+        for d in (-0.05, 0.05):
+            w = model.weights.copy()
+            w[k] += d
+            assert loss(w, model.thresholds) > best - 1e-6
+    assert all(loss(model.weights, model.thresholds + d) > best - 1e-6 for d in ([0.05, 0], [-0.05, 0], [0, 0.05], [0, -0.05]))
+
+
+def test_counts_of_features_are_whole(spark):
+    text = " ".join(f"rottenword{i}" for i in range(600))
+    f, c = toxicity.counted(text, toxicity.features_of)
+    got = spark.createDataFrame([(text, 1)], "text string, grade int").mapInArrow(toxicity._extracted, "grade int, features binary, counts binary").first()
+    assert c.max() == 600 and np.frombuffer(got.counts, np.uint32).tolist() == c.tolist() and np.frombuffer(got.features, np.uint32).tolist() == f.tolist()
+
+
 def test_gradient_of_the_ordinal_fit_orders_grades():
     rng = np.random.default_rng(0)
     grades = rng.integers(0, 3, 400)
