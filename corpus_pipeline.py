@@ -1,17 +1,19 @@
 """A pipeline over the documents table: toxicity, line dedup, near-dedup, decontamination, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of documents."""
+Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of documents. A null text is
+not toxic, is one empty line after line dedup, has no near copy, holds no benchmark item and is packed as its end alone.
+Rows that repeat an id are one document to the stages that compare documents and go or stay together; rows with a null id are
+compared with nothing and stay. Tables without rows give tables without rows."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import decontaminate, line_dedup, near_dup, packing, toxicity
-from tallyspark.llm.common import durable, join_sized, table
+from tallyspark.llm.common import durable, join_sized, shared_folder, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +53,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each but the last is written to the shared checkpoint folder and read again."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-"))
-    place = f"{context.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
