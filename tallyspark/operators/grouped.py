@@ -55,6 +55,39 @@ def imbalance(df: DataFrame, key: str, debit: Column, credit: Column, tolerance:
     return sums.filter(F.abs(F.coalesce("debit", F.lit(0)) - F.coalesce("credit", F.lit(0))) > tolerance)
 
 
+#: The columns that flags are derived from, by role; a configuration may name others.
+FLAG_COLUMNS = {
+    "number": "txn_no", "amount": "amount", "invoice": "invoice_no", "vendor": "vendor_id", "currency": "currency", "account_currency": "account_currency", "journal": "journal_id",
+    "debit": "debit", "credit": "credit", "price": "unit_price", "standard_price": "std_price", "entered": "entry_date", "date": "transaction_date",
+}
+
+
+def with_flags(df: DataFrame, columns: dict[str, str] | None = None, tolerance: float = 0.005) -> DataFrame:
+    """df with the flags that the shipped rules R004, R008, R011, R013, R017 and R019 test, as far as df has their columns.
+
+    A flag that df has already stays. Row flags are expressions; repeats and journals are counted before a shuffle and
+    joined back. A null in a column that a flag needs gives false."""
+    of = FLAG_COLUMNS | (columns or {})
+    has = lambda flag, *roles: flag not in df.columns and all(of[r] in df.columns for r in roles)
+    amount = lambda role: num(df, of[role])
+    row = {}
+    if has("currency_mismatch_flag", "currency", "account_currency"):
+        row["currency_mismatch_flag"] = F.upper(F.trim(of["currency"])) != F.upper(F.trim(of["account_currency"]))
+    if has("price_deviation_flag", "price", "standard_price"):
+        row["price_deviation_flag"] = price_deviation(amount("price"), amount("standard_price"))
+    if has("backdated_flag", "entered", "date"):
+        row["backdated_flag"] = backdated(day(df, of["entered"]), day(df, of["date"]))
+    out = df.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in row.items()})
+    if has("sequence_flag", "number", "amount"):
+        out = sequence_flag(out.withColumns({"__number": amount("number"), "__amount": amount("amount")}), "__number", "__amount").drop("__number", "__amount")
+    if has("invoice_duplicate_flag", "invoice"):
+        out = repeated_flag(out, [of["invoice"], *([of["vendor"]] if of["vendor"] in df.columns else [])])
+    if has("imbalance_flag", "journal", "debit", "credit"):
+        wrong = imbalance(out, of["journal"], amount("debit"), amount("credit"), tolerance).select(of["journal"], F.lit(True).alias("imbalance_flag"))
+        out = out.join(wrong, of["journal"], "left").withColumn("imbalance_flag", F.coalesce("imbalance_flag", F.lit(False)))
+    return out
+
+
 def price_deviation(price: Column, standard: Column, share: float = 0.2) -> Column:
     """R017: whether a price is further than so large a share from the standard price."""
     return F.abs(price - standard) > share * standard

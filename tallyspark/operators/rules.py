@@ -25,8 +25,8 @@ COMPARISONS = ("gt", "gte", "lt", "lte")
 CONDITIONS = (*COMPARISONS, "eq", "neq", "in", "not_in", "is_null", "not_null", "matches", "not_matches", "weekend_transaction", "end_of_period", "cross_field_gt", "cross_field_eq", "compound")
 NEEDS = {**dict.fromkeys(COMPARISONS, "threshold"), "eq": "value", "neq": "value", "in": "values", "not_in": "values", "matches": "pattern", "not_matches": "pattern", "cross_field_gt": "reference_field", "cross_field_eq": "reference_field"}
 PLACEHOLDERS = ("__CONFIG_APPROVED_VENDORS__", "__CONFIG_PUBLIC_HOLIDAYS__")
-#: Longer lists are joined, not written into the plan.
-LIST_LIMIT = 200
+#: Longer lists are joined, not written into the plan; up to so many values as a broadcast.
+LIST_LIMIT, BROADCAST_VALUES = 200, 100_000
 
 
 class RuleError(ValueError):
@@ -168,10 +168,16 @@ def _typed(df: DataFrame, column: str, values: list) -> list:
 
 def membership(df: DataFrame, column: str, values: list) -> Column:
     """Whether the column, null-safe, is one of the values; dates compare by day."""
-    kind = type_of(df, column)
-    c = day(df, column).cast("string") if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else num(df, column) if isinstance(kind, NUMERIC) else F.col(f"`{column}`")
     typed = _typed(df, column, values)
-    return F.coalesce(c.isin(typed), F.lit(False)) if typed else F.lit(False)
+    return F.coalesce(member_key(df, column).isin(typed), F.lit(False)) if typed else F.lit(False)
+
+
+def member_key(df: DataFrame, column: str) -> Column:
+    """What of a column is compared with a list of any length: dates by day, as text, and numbers as doubles."""
+    kind = type_of(df, column)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return day(df, column).cast("string")
+    return num(df, column) if isinstance(kind, NUMERIC) else F.col(f"`{column}`")
 
 
 def leaf(df: DataFrame, column: str, condition: str, get, settings: Settings) -> tuple[Column, object] | None:
@@ -261,9 +267,10 @@ def with_memberships(df: DataFrame, rules: list[Rule]) -> DataFrame:
             flag = membership_flag(column, values)
             if column in df.columns and flag not in df.columns:
                 kind = "double" if isinstance(type_of(df, column), NUMERIC) else "string"
-                key = num(df, column) if kind == "double" else F.col(f"`{column}`").cast("string")
-                listed = df.sparkSession.createDataFrame([(v,) for v in dict.fromkeys(_typed(df, column, values))], f"__key {kind}")
-                df = df.withColumn("__key", key).join(F.broadcast(listed.withColumn(flag, F.lit(True))), "__key", "left").drop("__key").withColumn(flag, F.coalesce(flag, F.lit(False)))
+                key = member_key(df, column).cast(kind)
+                typed = list(dict.fromkeys(_typed(df, column, values)))
+                listed = df.sparkSession.createDataFrame([(v,) for v in typed], f"__key {kind}").withColumn(flag, F.lit(True))
+                df = df.withColumn("__key", key).join(F.broadcast(listed) if len(typed) <= BROADCAST_VALUES else listed, "__key", "left").drop("__key").withColumn(flag, F.coalesce(flag, F.lit(False)))
     return df
 
 

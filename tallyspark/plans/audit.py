@@ -58,11 +58,11 @@ def check_integrity(run: AuditRun) -> AuditRun:
 
 
 def detect(run: AuditRun, client: review.Client | None = None) -> AuditRun:
-    """Rules in one scan, R018 in any case, and the reviewer on rows that neither has flagged."""
+    """Rules in one scan, over the table with the flags that some of them test, R018 in any case, and the reviewer on rows that neither has flagged."""
     c = run.config
     rules = [r for r in (load_rules(c.rules_file) if c.rules_file else default_rules()) if r.id != "R018"]
     engine = RuleEngine(rules, c.settings())
-    found = engine.evaluate(run.table, run.session_id)
+    found = engine.evaluate(grouped.with_flags(run.table, c.flag_columns), run.session_id)
     found = found.unionByName(grouped.frequent_small(run.table, limit=c.approval_limit, least=c.frequent_count, session_id=run.session_id))
     if c.review.enabled and client is not None:
         batched = review.batches(run.table, found, c.review.hidden_columns, c.review.batch_size)

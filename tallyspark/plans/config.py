@@ -43,6 +43,7 @@ class RunConfig:
     approval_limit: float = 1e8
     frequent_count: int = 5
     fiscal_year_end: str = "12-31"
+    flag_columns: dict[str, str] = field(default_factory=dict)
     approved_vendors: list[str] = field(default_factory=list)
     approved_vendors_file: str | None = None
     public_holidays: list[str] = field(default_factory=list)

@@ -57,6 +57,7 @@ def build(session_id: str, source: dict, integrity: DataFrame, anomalies: DataFr
         "anomalies": {"total": counts["total"], "by_severity": {s: counts[s] for s in SEVERITIES}, "by_rule": by_rule, "llm": counts["llm"]},
         "top_findings": [r.asDict() for r in (listed if len(listed) <= TABLE_LIMIT else listed[:TABLE_ROWS])],
         "high": [r.asDict() for r in anomalies.filter("severity = 'high'").orderBy("row_index", "rule_id").limit(DETAIL_ROWS).collect()],
+        "high_total": counts["high"],
         "recommendations": [r["recommendation"] for r in recommendations(every).orderBy("position").collect()],
     })
 
@@ -75,6 +76,8 @@ def markdown(report: dict, trail: str | None = None) -> str:
     if a["total"] > len(report["top_findings"]):
         out += ["", f"and {a['total'] - len(report['top_findings'])} more"]
     out += ["", "## Findings of high severity", ""] + [f"- row {f['row_index']}, {escaped(f['rule_id'])}: {escaped(f['reasoning'])} (value {escaped(f['actual_value'])}, expected {escaped(f['expected_value'])})" for f in report["high"]]
+    if report["high_total"] > len(report["high"]):
+        out += ["", f"and {report['high_total'] - len(report['high'])} more of high severity; the table of findings has them all"]
     out += ["", "## Recommendations", ""] + [f"- {r}" for r in report["recommendations"]] + ["", "## Trail", "", trail or "none", ""]
     return "\n".join(out)
 

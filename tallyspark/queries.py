@@ -191,6 +191,25 @@ def late_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").join(orders, "l_orderkey").filter(grouped.backdated(F.col("l_shipdate"), F.col("o_orderdate"))).select(F.expr(KEYS["lineitem"]).alias("row_index"))
 
 
+def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six flags that shipped rules test, derived from orders in the shape of a ledger."""
+    ledger = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS txn_no", "floor(o_totalprice / 100000) AS amount", "o_custkey % 700 AS invoice_no", "o_orderstatus AS vendor_id", "substr(o_orderpriority, 1, 1) AS currency", "'1' AS account_currency", "o_custkey AS journal_id",
+        "o_orderkey % 2 AS debit", "(o_orderkey + 1) % 2 AS credit", "o_totalprice AS unit_price", "200000.0 AS std_price", "o_orderdate AS transaction_date", "date_add(o_orderdate, CAST(o_orderkey % 60 AS INT)) AS entry_date",
+    )
+    names = ["sequence_flag", "invoice_duplicate_flag", "currency_mismatch_flag", "imbalance_flag", "price_deviation_flag", "backdated_flag"]
+    return grouped.with_flags(ledger).select("txn_no", *names)
+
+
+FLAGS_SQL = """
+WITH l AS (SELECT *, floor(o_totalprice / 100000) AS amount, lag(o_orderkey) OVER (ORDER BY o_orderkey) AS p, lag(floor(o_totalprice / 100000)) OVER (ORDER BY o_orderkey) AS q FROM orders)
+SELECT o_orderkey AS txn_no, coalesce(p = o_orderkey - 1 AND q = amount, false) AS sequence_flag, count(*) OVER (PARTITION BY o_custkey % 700, o_orderstatus) > 1 AS invoice_duplicate_flag,
+       substr(o_orderpriority, 1, 1) <> '1' AS currency_mismatch_flag, abs(sum(o_orderkey % 2) OVER (PARTITION BY o_custkey) - sum((o_orderkey + 1) % 2) OVER (PARTITION BY o_custkey)) > 0.005 AS imbalance_flag,
+       abs(o_totalprice - 200000) > 40000 AS price_deviation_flag, o_orderkey % 60 > 30 AS backdated_flag
+FROM l
+"""
+
+
 def unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R014 as a relation: orders without a returned line."""
     returned = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
@@ -231,6 +250,7 @@ def _plain() -> dict[str, tuple[Query, str]]:
         "integrity_check_scores": (lambda s, d: check_scores(score_findings(s, d)), f"SELECT rule_id, count(*) AS findings, sum(w)::BIGINT AS severity_score FROM ({SCORE_SQL}) GROUP BY rule_id"),
         "r018_freq_small": (lambda s, d: grouped.frequent_small(keyed(s, d, "events"), "user_id", "ts", "value", 200).select("row_index"), "SELECT event_id AS row_index FROM (SELECT event_id, count(*) OVER w AS n, max(value) OVER w AS m FROM events WINDOW w AS (PARTITION BY user_id, ts::DATE)) WHERE n > 5 AND m < 200"),
         "r004_sequence": (lambda s, d: grouped.sequence_flag(t(s, d, "events"), "event_id", "event_type").filter("sequence_flag").select("event_id"), "SELECT event_id FROM (SELECT event_id, event_type, lag(event_id) OVER (ORDER BY event_id) AS p, lag(event_type) OVER (ORDER BY event_id) AS q FROM events) WHERE p = event_id - 1 AND q = event_type"),
+        "rules_derived_flags": (flags, FLAGS_SQL),
         "r008_dup_invoice": (lambda s, d: grouped.repeated_flag(t(s, d, "orders"), ["o_custkey", "o_orderdate"]).filter("invoice_duplicate_flag").select("o_orderkey"), "SELECT o_orderkey FROM (SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey, o_orderdate) AS n FROM orders) WHERE n > 1"),
         "r011_ccy_mismatch": (mismatches, "SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = '1-URGENT' AND c_mktsegment <> 'MACHINERY'"),
         "r013_imbalance": (lambda s, d: grouped.imbalance(t(s, d, "lineitem"), "l_orderkey", F.when(F.col("l_linestatus") == "O", F.col("l_quantity")), F.when(F.col("l_linestatus") == "F", F.col("l_quantity"))).select("l_orderkey"), "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING coalesce(sum(l_quantity) FILTER (WHERE l_linestatus = 'O'), 0) <> coalesce(sum(l_quantity) FILTER (WHERE l_linestatus = 'F'), 0)"),

@@ -200,3 +200,40 @@ def test_batches_query_leaves_flagged_rows_out(spark, monkeypatch):
     df, flagged = seen[0]
     hit = flagged.select("row_index").distinct()
     assert hit.count() > 0 and df.join(hit, "row_index", "left_semi").count() == hit.count() == df.count() - got
+
+
+LEDGER = """txn_no,amount,transaction_date,transaction_time,approval_special,approver,vendor_id,document_ref,revenue,discount_rate,interco_flag,matching_id,invoice_no,currency,account_currency,journal_id,debit,credit,unit_price,std_price,entry_date
+{rows}"""
+
+
+def test_each_shipped_rule_finds_its_planted_row(spark, tmp_path):
+    calm = dict(txn_no=0, amount=1234.5, transaction_date="2024-03-05", transaction_time="10:00", approval_special="S1", approver="ann", vendor_id="V1", document_ref="D1", revenue=10, discount_rate=0.1, interco_flag="false", matching_id="M1", invoice_no="I0", currency="USD", account_currency="USD", journal_id="J0", debit=5, credit=5, unit_price=10, std_price=10, entry_date="2024-03-06")
+    planted = [
+        ("R001", {"amount": 600000001}), ("R002", {"transaction_date": "2024-03-09", "entry_date": "2024-03-10", "approval_special": ""}), ("R003", {"amount": 3000000}), ("R004", {"txn_no": 11, "amount": 77.5}), ("R004", {"txn_no": 12, "amount": 77.5}), ("R005", {"transaction_time": "23:15"}),
+        ("R006", {"transaction_date": "2024-12-31", "entry_date": "2025-01-02"}), ("R007", {"vendor_id": "V9"}), ("R008", {"invoice_no": "I7", "vendor_id": "V1"}), ("R008", {"invoice_no": "I7", "vendor_id": "V1"}), ("R009", {"amount": 460000001}), ("R010", {"amount": 150000001, "approver": ""}), ("R011", {"currency": "EUR"}),
+        ("R012", {"revenue": -4}), ("R013", {"journal_id": "J5", "debit": 9}), ("R014", {"interco_flag": "true", "matching_id": ""}), ("R015", {"transaction_date": "2024-05-01", "entry_date": "2024-05-02"}), ("R016", {"discount_rate": 0.45}), ("R017", {"unit_price": 13}), ("R019", {"entry_date": "2024-06-30"}), ("R020", {"amount": 600000002, "document_ref": ""}),
+    ] + [("R018", {"vendor_id": "V2", "transaction_date": "2024-03-12", "entry_date": "2024-03-12"})] * 6
+    rows = [{**calm, "txn_no": 1000 + 2 * k, "invoice_no": f"I{100 + k}", "journal_id": f"J{100 + k}", "transaction_date": f"2024-04-{1 + k % 5:02d}", "entry_date": f"2024-04-{2 + k % 5:02d}", "vendor_id": f"V{1 + k % 2 * 2}"} | own for k, (_, own) in enumerate(planted)]
+    (tmp_path / "ledger.csv").write_text(LEDGER.format(rows="\n".join(",".join(str(v) for v in r.values()) for r in rows)))
+    config = parse({"approved_vendors": ["V1", "V2", "V3"], "public_holidays": ["2024-05-01"] + [str(2025 + k // 28) + f"-02-{1 + k % 28:02d}" for k in range(300)]})
+    run = run_audit(spark, str(tmp_path / "ledger.csv"), tmp_path / "out", config)
+    found = {}
+    for f in run.anomalies.collect():
+        found.setdefault(f.rule_id, set()).add(f.row_index)
+    want = {}
+    for k, (rule, _) in enumerate(planted):
+        want.setdefault(rule, set()).add(k)
+    assert not run.errors and found.keys() == want.keys()
+    want["R004"] = {4}  # the second of the two
+    want["R001"] |= want["R020"]
+    assert found == want
+
+
+def test_markdown_says_how_many_high_findings_it_leaves_out(spark, tmp_path, monkeypatch):
+    from tallyspark.plans import report
+
+    monkeypatch.setattr(report, "DETAIL_ROWS", 2)
+    (tmp_path / "t.csv").write_text("amount,ref\n" + "\n".join(f"{600000001 + k},D{k}" for k in range(5)))
+    run = run_audit(spark, str(tmp_path / "t.csv"), tmp_path / "out")
+    text = next((tmp_path / "out").glob("*_report.md")).read_text()
+    assert run.report["high_total"] == 5 and "and 3 more of high severity" in text

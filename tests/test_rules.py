@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.operators.rules import Rule, RuleEngine, RuleError, Settings, build, default_rules, errors_of, parse
 
@@ -97,3 +98,17 @@ def test_fused_and_single_findings_agree_and_one_rule_is_pushed_down(spark, df,
     df.write.parquet(str(tmp_path / "t"))
     plan = RuleEngine([rules[1]]).evaluate(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNull(t)]" in plan and "s:string" not in plan.split("ReadSchema")[1]
+
+
+@pytest.mark.parametrize("limit", [0, 10**9])
+@pytest.mark.parametrize("condition", ["in", "not_in"])
+def test_lists_of_any_length_find_the_same_rows(spark, monkeypatch, limit, condition):
+    from tallyspark.operators import rules
+
+    monkeypatch.setattr(rules, "LIST_LIMIT", limit)
+    stamps = spark.createDataFrame([(0, dt.datetime(2024, 1, 6, 7, 30), "a", 1.0), (1, dt.datetime(2024, 2, 1), "b", 2.5), (2, None, None, None)], "row_index long, ts timestamp, s string, n double").withColumn("local", F.col("ts").cast("timestamp_ntz"))
+    days = [str(dt.date(2024, 1, 1) + dt.timedelta(days=k)) for k in range(0, 10)] + [str(dt.date(1990, 1, 1) + dt.timedelta(days=k)) for k in range(250)]
+    want = [0] if condition == "in" else [1]
+    for field, values in {"ts": days, "local": days, "s": ["a"] + [f"x{k}" for k in range(250)], "n": [1] + list(range(100, 350))}.items():
+        for listed in (values, values[:12]):
+            assert hits(stamps, field=field, condition=condition, values=listed) == want
