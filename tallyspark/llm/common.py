@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
 #: Bytes, as measured, of a join side that may be broadcast.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 #: The white space of every contract here, as a regular expression; bytes.split() splits at the same bytes.
 SPACE = r"[\x20\x09-\x0D]"
 #: Rows in an Arrow batch at most.

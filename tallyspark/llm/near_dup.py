@@ -1,7 +1,7 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 Stages: shingle sets and signatures (one pass over the text); one representative for each different set; band buckets;
-rounds that compare each bucket's members with one leader; then, within buckets that still hold several components,
+a round that compares each bucket's members with two leaders; then, within buckets that still hold several components,
 every pair of members of different components, in blocks. A pair survives a comparison of signature batches while the
 posterior probability that it reaches the threshold is at least `miss`; survivors are confirmed on full shingle sets."""
 
@@ -21,8 +21,6 @@ from .common import by_slices, durable, is_empty, join_sized, shingles_of, small
 from .components import components
 
 HASHES, ROWS, BATCH = 128, 4, 16
-#: Rounds in which each bucket that holds several components gets a leader.
-LEADER_ROUNDS = 2
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 512
 #: Members that are compared with one copy of their leader's shingle set.
@@ -221,16 +219,13 @@ def confirm(texts: DataFrame, pairs: DataFrame, threshold: float, width: int) ->
     return rows.repartition("leader", "part").sortWithinPartitions("leader", "part", "role").mapInArrow(lambda b: _confirmed(b, threshold), "u long, v long")
 
 
-def linked_leaders(texts: DataFrame, rest: DataFrame, sig: DataFrame, turn: int, threshold: float, width: int, miss: float) -> DataFrame:
-    """Links (u, v) of the members of each bucket of rest (band, nth, id, component) with the bucket's leader of this turn.
-
-    The first leader is the smallest id, later ones the first in the order of a hash of component and id, so that a group
-    of copies has much the same few leaders in all bands. Members of the leader's own component are not compared."""
-    first = F.struct(F.xxhash64("component", F.lit(turn)), F.xxhash64("id", F.lit(turn))) if turn else F.col("id")
-    leaders = durable(rest.groupBy("band").agg(F.min_by(F.struct(F.col("id").alias("u"), F.col("component").alias("own")), first).alias("x")).select("band", "x.*"))
-    pairs = join_sized(rest, leaders, "band", "inner").filter("own <> component").select("u", F.col("id").alias("v")).distinct()
-    signed = durable(sig.join(leaders.select(F.col("u").alias("id")).distinct(), "id", "left_semi")).toDF("u", "sig_u")
-    pairs = join_sized(pairs.join(sig.toDF("v", "sig_v"), "v"), signed, "u", "inner")
+def linked_leaders(texts: DataFrame, rest: DataFrame, sig: DataFrame, threshold: float, width: int, miss: float) -> DataFrame:
+    """Links (u, v) of the members of each bucket of rest (band, nth, id, component) with the bucket's two leaders: its
+    smallest id and the first id in the order of a hash, so that a group of copies has much the same few leaders in all bands."""
+    leaders = durable(rest.groupBy("band").agg(F.array_distinct(F.array(F.min("id"), F.min_by("id", F.xxhash64("id")))).alias("lead")))
+    pairs = join_sized(rest, leaders, "band", "inner").select("id", F.explode("lead").alias("lead")).filter("id <> lead")
+    pairs = pairs.select(F.least("id", "lead").alias("u"), F.greatest("id", "lead").alias("v")).distinct()
+    pairs = pairs.join(sig.toDF("u", "sig_u"), "u").join(sig.toDF("v", "sig_v"), "v")
     pairs = pairs.select("u", "v", "sig_u", "sig_v").mapInArrow(lambda b: _compared(b, threshold, miss), "u long, v long")
     return confirm(texts, durable(pairs), threshold, width)
 
@@ -269,18 +264,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = durable(bands.select("band", "nth", "id", F.col("id").alias("component")))
     sig = reps.select("id", "sig")
     links, labels = None, None
-    for turn in range(LEADER_ROUNDS + 1):
+    for led in (True, False):
         if is_empty(rest):
             break
-        if turn < LEADER_ROUNDS:
-            got = durable(linked_leaders(texts, rest, sig, turn, threshold, width, miss))
-        else:
-            got = durable(linked_blocks(texts, rest, sig, threshold, width, miss))
+        found = linked_leaders if led else linked_blocks
+        got = durable(found(texts, rest, sig, threshold, width, miss))
         if is_empty(got):
             continue
         links = got if links is None else links.union(got)
         labels = components(links)
-        if turn < LEADER_ROUNDS:
+        if led:
             rest = join_sized(rest.drop("component"), labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
             several = rest.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("band")
             rest = durable(rest.join(several, "band", "left_semi").select("band", "nth", "id", "component"))
