@@ -37,7 +37,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         some = join_sized(narrow, heads, ["_len", "_head"], "left_semi")
     else:
         some = durable(join_sized(base, heads, ["_len", "_head"], "left_semi").select(*row, full))
-        narrow = join_sized(narrow, heads, ["_len", "_head"], "left_anti").withColumn("_sha", F.lit(None).cast("string")).union(some)
+        narrow = join_sized(narrow, heads, ["_len", "_head"], "left_anti").withColumn("_sha", F.lit(None).cast("string")).unionByName(some)
     best = F.max_by(F.struct("_id"), F.struct("_cp", F.col("_id").isNotNull(), F.negative("_id")))
     groups = durable(some.groupBy("_len", "_sha").agg(best.alias("_keep"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_len", "_sha", F.col("_keep._id").alias("_keep"), "_n"))
     keep = F.when(F.col("_n").isNotNull(), F.col("_keep")).otherwise(F.col("_id"))
