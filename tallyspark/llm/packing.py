@@ -46,6 +46,12 @@ class WordIds(dict):
         rest = [b for b in range(256) if b not in plain]
         self.byte_chars = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
+    def forget(self) -> None:
+        """Give the memory of words, and what Arrow holds in reserve, back to the system."""
+        self.clear()
+        self.runs.clear()
+        pa.default_memory_pool().release_unused()
+
     def _run(self, run: str) -> bytes:
         got = self.runs.get(run)
         if got is None:
@@ -191,15 +197,19 @@ def _packed(batches, path: str, end: int, tiers: tuple[int, ...], step_tokens: i
         arrays = [pa.array(cols[0], id_type), *(pa.array(c, pa.int64()) for c in cols[1:5]), pa.array(cols[6], pa.int64()), pa.array(cols[7], pa.int64()), pa.array(cols[5], pa.int32()), pa.array([of[s] for s in cols[6]], pa.int64())]
         yield pa.RecordBatch.from_arrays(arrays, ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"])
 
-    for batch in by_slices(batches, "text", 2 << 20):
-        for id_, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-            data = token_bytes(text, path, end)
-            packer.add(id_, data)
-            gathered += len(data) // 4
-        if gathered >= BATCH_TOKENS:
-            packer.pack()
-            gathered = 0
-            yield from written()
+    try:
+        for batch in by_slices(batches, "text", 2 << 20):
+            for id_, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+                data = token_bytes(text, path, end)
+                packer.add(id_, data)
+                gathered += len(data) // 4
+            if gathered >= BATCH_TOKENS:
+                packer.pack()
+                gathered = 0
+                yield from written()
+    finally:  # workers live on, with other stages' tasks
+        if path in _IDS:
+            _IDS[path].forget()
     packer.finish()
     yield from written()
 
