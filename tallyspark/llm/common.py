@@ -16,10 +16,11 @@ from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 BROADCAST_BYTES = 8 << 20
 #: The white space of every contract here, as a regular expression; bytes.split() splits at the same bytes.
 SPACE = r"[\x20\x09-\x0D]"
-#: Rows in an Arrow batch at most.
+#: Rows in an Arrow batch, and in a batch that a parquet scan reads, at most.
 BATCH_ROWS = 2000
+READ_ROWS = 512
 #: Bytes of text that a Python worker holds as one slice.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -69,8 +70,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """From now on the session hands Python workers at most BATCH_ROWS rows, and about SLICE_BYTES bytes, at once: texts may
-    be long, and batches are held by the executor and by its workers."""
+    """From now on the session hands Python workers at most BATCH_ROWS rows, and about SLICE_BYTES bytes, at once, and reads
+    READ_ROWS rows of parquet at once: texts may be long, and batches are held by the executor and by its workers."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", SLICE_BYTES)
 
