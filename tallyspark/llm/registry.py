@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import centroids, decontaminate, exact_dedup, html_text, language, line_dedup, lm_score, near_dup, packing, toxicity, warc
+from . import centroids, decontaminate, exact_dedup, html_text, language, lexical, line_dedup, lm_score, near_dup, packing, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_score": lm_score.query,
         "op9_near_dup": near_dup.query,
         "op10_toxicity": toxicity.query,
+        "op11_lexical": lexical.query,
         "op12_centroids": centroids.query,
         "pipeline": corpus_pipeline.run,
     }
@@ -35,5 +36,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontaminate": decontaminate.SQL,
         "op7_exact_dedup": exact_dedup.SQL,
         "op9_near_dup": near_dup.SQL,
+        "op11_lexical": lexical.SQL,
         "op12_centroids": centroids.SQL,
     }
