@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import centroids, decontaminate, exact_dedup, html_text, language, lexical, line_dedup, lm_score, near_dup, packing, toxicity, warc
+from . import centroids, chat, decontaminate, exact_dedup, html_text, language, lexical, line_dedup, lm_score, near_dup, packing, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": toxicity.query,
         "op11_lexical": lexical.query,
         "op12_centroids": centroids.query,
+        "op13_chat": chat.query,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -38,4 +39,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_near_dup": near_dup.SQL,
         "op11_lexical": lexical.SQL,
         "op12_centroids": centroids.SQL,
+        "op13_chat": chat.SQL,
     }
