@@ -27,7 +27,7 @@ _TO_TERMS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum()
 SEGMENT_DOCS = 8192
 SEGMENT_POSTINGS = 1 << 20
 #: Postings that a search task reads at least, and partial tops merged by one key.
-TASK_POSTINGS = 4 << 20
+TASK_POSTINGS = 1 << 20
 MERGED = 64
 #: A list of up to this share of a segment's documents is short.
 SHORT = 1 / 16
