@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import json
+import logging
 import os
 import sys
 from pathlib import Path
@@ -10,16 +12,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators.rules import RuleError
+from .errors import AuditError, ReviewError
+from .operators.crossverify import CrossFile
 from .operators.rules import load as load_rules
 from .plans import report as reports
 from .plans import review as reviewer
 from .plans.audit import run_audit
-from .plans.config import ConfigError, RunConfig
+from .plans.config import RunConfig
 from .plans.config import load as load_config
+from .plans.config import parse as parse_config
 from .plans.store import Store
 from .plans.trail import Trail, TrailEntry, verify
-from .sources.sniff import SourceError
 
 OK, BAD_INPUT, FAILED, NO_REVIEWER, BAD_STORE = range(5)
 DECISIONS = {"a": "accepted", "r": "rejected", "s": "skipped"}
@@ -53,6 +56,10 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--dry-run", action="store_true", help="read configuration, rules and the first rows only")
     run.add_argument("--report-format", action="append", choices=["json", "markdown", "pdf"])
     run.add_argument("--verbose", action="store_true")
+    run.add_argument("--session", help="go on with a run that was cut short")
+    run.add_argument("--cross-file", help="a second file to verify anomalies against")
+    run.add_argument("--cross-key", action="append", metavar="COLUMN[=COLUMN]", help="a key of both files, the second name being the second file's")
+    run.add_argument("--contradicts", action="append", metavar="COLUMN OP COLUMN", help="what confirms an anomaly, such as 'amount != total'")
     for name, text in (("review", "decide on findings one by one"), ("export", "write a session's reports again")):
         sub = commands.add_parser(name, help=text)
         sub.add_argument("--session", required=True)
@@ -87,18 +94,24 @@ def _run(args) -> int:
         config.review.primary, config.review.model = args.llm or config.review.primary, args.llm_model or config.review.model
     if args.no_llm:
         config.review.enabled = False
+    if args.cross_file:
+        keys = dict(k.split("=", 1) if "=" in k else (k, k) for k in args.cross_key or [])
+        config.cross_file = CrossFile(args.cross_file, keys, [tuple(x.split()) for x in args.contradicts or []])
+        parse_config({"cross_file": config.cross_file.__dict__})
     client = None
     if config.review.enabled and (client := reviewer.route(clients(config.review.model), config.review.primary)) is None:
         print("no language model can be reached; the review is left out", file=sys.stderr)
         if args.llm:
-            return NO_REVIEWER
+            raise ReviewError(f"{args.llm} can't be reached")
     spark = session()
     if args.dry_run:
         from .sources.readers import read_any
 
         print(f"{args.file}: columns {read_any(spark, args.file, config.input.sheet, config.input.separator, config.input.encoding, config.input.skip_rows).columns}")
         return OK
-    run = run_audit(spark, args.file, args.output_dir, config, client=client)
+    if args.verbose:
+        logging.basicConfig(level=logging.INFO)
+    run = run_audit(spark, args.file, args.output_dir, config, args.session, client)
     print(f"session {run.session_id}: {run.report['status']}, integrity {run.report['integrity']['rating']} ({run.report['integrity']['score']}), anomalies {run.report['anomalies']['total']} {run.report['anomalies']['by_severity']}")
     for error in run.errors:
         print(error, file=sys.stderr)
@@ -127,11 +140,9 @@ def _review(args) -> int:
 def _export(args) -> int:
     store, out = _store(args), Path(args.output_dir)
     found = store.findings(args.session)
-    known = store.sessions().filter(F.col("session_id") == args.session).first()
-    if known is None:
-        print(f"no session {args.session}", file=sys.stderr)
-        return BAD_STORE
-    report = reports.build(args.session, {"path": known["input_path"], "rows": None}, found.filter("layer = 2"), found.filter("layer = 3"))
+    known = store.session(args.session)
+    before = json.loads(known["report"] or "{}").get("source") or {"path": known["input_path"], "rows": None}
+    report = reports.build(args.session, before, found.filter("layer = 2"), found.filter("layer = 3"))
     place = out / f"{args.session}_export"
     if args.format == "json":
         print(reports.write_json(report, place.with_suffix(".json")))
@@ -166,7 +177,10 @@ def main(argv: list[str] | None = None) -> int:
         good, why = verify(args.trail)
         print("the trail holds" if good else why)
         return OK if good else FAILED
-    except (SourceError, ConfigError, RuleError, FileNotFoundError) as error:
+    except AuditError as error:
+        print(error, file=sys.stderr)
+        return error.exit_code
+    except FileNotFoundError as error:
         print(error, file=sys.stderr)
         return BAD_INPUT
 

@@ -6,15 +6,20 @@ import keyword
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 #: Texts that a CSV reader takes for null, and the date formats in the order in which they are tried.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 DATE_FORMATS = ("d/M/yyyy", "yyyy-M-d", "d-M-yyyy", "M/d/yyyy", "yyyyMMdd")
 REDACTED = "[REDACTED]"
+#: The currencies, how many values tell a column's locale, and how few do not.
+CODES = ("USD", "VND")
+LOCALE_SAMPLE, LOCALE_LEAST = 20, 5
 NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -90,7 +95,7 @@ def locale_vote(text: Column) -> Column:
     )
 
 
-def detect_locale(df: DataFrame, column: str, order: str, sample: int = 20, least: int = 5) -> DataFrame:
+def detect_locale(df: DataFrame, column: str, order: str, sample: int = LOCALE_SAMPLE, least: int = LOCALE_LEAST) -> DataFrame:
     """One row (locale): the vote of the column's first `sample` non-blank values by `order`; en below `least` values and in ties."""
     c = F.col(f"`{column}`").cast("string")
     first = df.filter(F.trim(c) != "").orderBy(order).limit(sample).select(locale_vote(c).alias("v"))
@@ -114,10 +119,17 @@ def boolean(text: Column) -> Column:
     return F.lower(F.trim(text)).isin("true", "yes", "1")
 
 
-@F.pandas_udf(T.StringType())
-def composed(text: pd.Series) -> pd.Series:
-    """Text stripped and in Unicode's composed form; Spark has no built-in for the latter."""
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x.strip()))
+@arrow_udf(T.StringType())
+def _composed(text: pa.Array) -> pa.Array:
+    return pa.array([x if x is None else unicodedata.normalize("NFC", x) for x in pc.utf8_trim_whitespace(text).to_pylist()], pa.string())
+
+
+def composed(text: Column | str) -> Column:
+    """Text stripped and in Unicode's composed form; Spark has no built-in for the latter (and Arrow's own
+    does not compose), so texts that are not ASCII, and no others, go to Python in Arrow batches."""
+    c = F.col(text) if isinstance(text, str) else text
+    plain = F.regexp_replace(c, r"^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+    return F.when(c.rlike(r"^[\x00-\x7F]*$"), plain).otherwise(_composed(F.when(~c.rlike(r"^[\x00-\x7F]*$"), c)))
 
 
 def snake_column(text: Column) -> Column:

@@ -178,16 +178,14 @@ ROW_CHECKS = {"IC-001": nulls, "IC-004": date_range, "IC-005": numeric_range, "I
 def duplicate_findings(df: DataFrame, ic: str, columns: list[str], session_id: str, row_index: str) -> DataFrame:
     """IC-002 and IC-003: all rows that agree on the columns with another row; nulls agree with nulls.
 
-    Rows are counted by a hash of the columns, combined before the shuffle; only rows of hashes that repeat are then
-    counted on the columns themselves, so wide rows and hot values do not move."""
-    names = [F.col(f"`{c}`") for c in columns]
-    keyed = df.withColumn("__h", F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in columns]))
-    repeated = keyed.groupBy("__h").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__h")
-    some = keyed.join(repeated, "__h", "left_semi")
-    groups = some.groupBy(*names).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
-    same = reduce(lambda a, b: a & b, [F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in columns])
-    hits = some.alias("a").join(groups.alias("b"), same, "left_semi")
-    found = hits.select(F.col(f"`{row_index}`").cast("long").alias("row_index"))
+    Rows are counted by a 64-bit hash, combined before the shuffle. Of rows whose hash repeats, and of no others, the number
+    and a SHA-256 of the columns go on; whole rows never move."""
+    names = [F.col(f"`{c}`").cast("string").alias(c) for c in columns]
+    digest = F.unhex(F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256))
+    rows = df.select(F.col(f"`{row_index}`").cast("long").alias("row_index"), F.xxhash64(*names).alias("__h"), digest.alias("__d"))
+    repeated = rows.groupBy("__h").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__h")
+    some = rows.join(repeated, "__h", "left_semi").select("row_index", "__d")
+    found = some.join(some.groupBy("__d").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1"), "__d", "left_semi").select("row_index")
     values = {"layer": F.lit(2), "finding_type": F.lit("integrity"), "rule_id": F.lit(ic), "rule_name": F.lit(NAMES[ic]), "column_name": F.lit(", ".join(columns) if ic == "IC-003" else None).cast("string"), "expected_value": F.lit("unique"), "severity": F.lit("high"), "confidence": F.lit(1.0), "reasoning": F.lit("the row occurs more than once" if ic == "IC-002" else "the key occurs more than once"), "detection_method": F.lit("rule"), "session_id": F.lit(session_id)}
     return shaped(found.withColumns(values).withColumn("finding_id", F.sha2(F.concat_ws("|", F.lit(session_id), F.lit(ic), F.col("row_index").cast("string"), F.lit("")), 256)))
 

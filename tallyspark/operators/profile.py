@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import coerce
+from .digest import hash_table
 
 TYPES = ("date", "numeric", "currency", "boolean")
 #: How many values inference reads, and the share that decides.
@@ -43,37 +45,97 @@ def _votes(text) -> dict:
     return {"date": coerce.date(t).isNotNull(), "numeric": figures | t.rlike(coerce.NUMBER), "currency": amount, "boolean": F.lower(t).isin("true", "false", "yes", "no", "1", "0")}
 
 
+@dataclass(frozen=True)
+class ColumnFacts:
+    """What is known of a column; codes: the currencies that its text names."""
+
+    name: str
+    dtype: str
+    locale: str
+    row_count: int
+    null_count: int
+    unique_count: int
+    samples: tuple[str, ...] = ()
+    codes: tuple[str, ...] = ()
+
+    @property
+    def null_ratio(self) -> float:
+        return self.null_count / max(1, self.row_count)
+
+
+def first_values(df: DataFrame, columns: list[str], below, row_index: str = "row_index", few: list[str] | None = None, n: int = SAMPLE) -> DataFrame:
+    """(k, values): for the k-th of the columns its first n non-null values, as text, among rows whose row_index is less than
+    `below`, or that have a value in one of the columns named in few."""
+    here = F.col(row_index) < below
+    for c in few or []:
+        here = here | F.col(f"`{c}`").isNotNull()
+    cells = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"`{c}`").cast("string").alias("v")) for k, c in enumerate(columns)])
+    rows = df.filter(here).select(F.col(row_index).alias("at"), F.explode(cells).alias("x")).select("at", "x.k", "x.v").filter("v IS NOT NULL")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("at"))).filter(F.col("place") <= n)  # each task keeps n of a column
+    return rows.groupBy("k").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "v"))), lambda x: x["v"]).alias("values"))
+
+
+def votes_of(values: DataFrame) -> DataFrame:
+    """(k, n, dtype, locale, samples) of first_values: the type that most values read as, if four fifths do (ties go to the first
+    in TYPES), mixed if fewer do, text if none does; the locale of the first 20 that are not blank; the first 3 different ones."""
+    each = values.select("k", F.explode("values").alias("v"))
+    said, blank = _votes(F.col("v")), F.trim("v") == ""
+    counts = each.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(~blank & F.coalesce(said[t], F.lit(False))).alias(t) for t in TYPES])
+    most = F.greatest(*TYPES)
+    best = F.coalesce(*[F.when(F.col(t) == most, t) for t in TYPES])
+    counts = counts.select("k", "n", F.when(most == 0, "text").when(most >= DECISIVE * F.col("n"), best).otherwise("mixed").alias("dtype"))
+    filled = F.slice(F.filter("values", lambda v: F.trim(v) != ""), 1, coerce.LOCALE_SAMPLE)
+    votes = F.transform(filled, coerce.locale_vote)
+    count = lambda which: F.size(F.filter(votes, lambda v: v == which))
+    locale = F.when((F.size(filled) >= coerce.LOCALE_LEAST) & (count("vi") > count("en")), "vi").otherwise("en")
+    return counts.join(values.select("k", locale.alias("locale"), F.slice(F.array_distinct("values"), 1, 3).alias("samples")), "k")
+
+
+def survey(df: DataFrame, row_index: str = "row_index", hints: dict[str, str] | None = None, approximate: bool = True) -> dict[str, ColumnFacts]:
+    """Facts of all columns but row_index, from two jobs whatever the number of columns: one aggregation over all rows, and one
+    over the few first rows that inference reads (again, over more of them, where columns begin with many nulls)."""
+    columns, hints = [c for c in df.columns if c != row_index], hints or {}
+    if not columns:
+        return {}
+    unique = F.approx_count_distinct if approximate else F.count_distinct
+    aggs = [F.count(F.lit(1)).alias("rows"), F.min(row_index).alias("first"), F.max(row_index).alias("last")]
+    for k, c in enumerate(columns):
+        x = F.col(f"`{c}`")
+        aggs += [F.count(x).alias(f"n{k}"), unique(x).alias(f"u{k}")]
+        if isinstance(df.schema[c].dataType, StringType):
+            aggs += [F.bool_or(coerce.currency_code(x) == code).alias(f"{code}{k}") for code in coerce.CODES]
+    facts = df.agg(*aggs).first().asDict()
+    few = [c for k, c in enumerate(columns) if 0 < facts[f"n{k}"] <= SAMPLE]
+    width, found = 100 * SAMPLE, {}
+    while facts["rows"]:
+        found = {r["k"]: r for r in votes_of(first_values(df, columns, facts["first"] + width, row_index, few)).collect()}  # a row a column
+        if facts["first"] + width > facts["last"] or all(k in found and found[k]["n"] >= min(SAMPLE, facts[f"n{k}"]) for k in range(len(columns)) if facts[f"n{k}"]):
+            break
+        width *= 100
+    out = {}
+    for k, c in enumerate(columns):
+        r = found.get(k)
+        codes = tuple(code for code in sorted(coerce.CODES) if facts.get(f"{code}{k}"))
+        out[c] = ColumnFacts(c, hints.get(c) or (r["dtype"] if r else "text"), r["locale"] if r else "en", facts["rows"], facts["rows"] - facts[f"n{k}"], facts[f"u{k}"], tuple(r["samples"]) if r else (), codes)
+    return out
+
+
 def infer_schema(df: DataFrame, row_index: str = "row_index", hints: dict[str, str] | None = None) -> dict[str, str]:
-    """A type for each column: date, numeric, currency, boolean, text or mixed, from its first 100 non-null values by row_index.
+    """A type for each column: date, numeric, currency, boolean, text or mixed, from its first 100 non-null values by row_index."""
+    return {c: f.dtype for c, f in survey(df, row_index, hints).items()}
 
-    The type with the most votes wins if it has four fifths of them, ties going to the first in that order; with fewer the
-    column is mixed, without any it is text. One job for all columns: each keeps its first values in a bounded aggregate."""
-    columns, hints = [c for c in df.columns if c != row_index], hints or {}
-    open_ = [c for c in columns if c not in hints]
-    out = dict(hints)
-    if open_:
-        firsts = []
-        for c in open_:
-            own = df.filter(F.col(f"`{c}`").isNotNull()).select(F.col(f"`{c}`").cast("string").alias("v"), row_index).orderBy(row_index).limit(SAMPLE)
-            votes = _votes(F.col("v"))
-            blank = F.trim("v") == ""
-            firsts.append(own.agg(F.lit(c).alias("c"), F.count(F.lit(1)).alias("n"), *[F.count_if(~blank & F.coalesce(votes[t], F.lit(False))).alias(t) for t in TYPES]))
-        for r in reduce(DataFrame.unionAll, firsts).collect():  # a row per column
-            best = max(TYPES, key=lambda t: (r[t], -TYPES.index(t)))
-            out[r["c"]] = "text" if not r["n"] or not r[best] else best if r[best] / r["n"] >= DECISIVE else "mixed"
-    return {c: out[c] for c in columns}
-
-
-def normalise(df: DataFrame, types: dict[str, str], row_index: str = "row_index") -> DataFrame:
+
+def normalise(df: DataFrame, types: dict[str, str], row_index: str = "row_index", locales: dict[str, str] | None = None) -> DataFrame:
     """df with each column in its type: dates, doubles (in the column's own locale), booleans, or composed text."""
-    locales = {c: coerce.detect_locale(df, c, row_index).first()[0] for c, t in types.items() if t == "numeric"}
+    if locales is None:
+        locales = {c: f.locale for c, f in survey(df, row_index, types).items()} if "numeric" in types.values() else {}
     out = {}
     for c, t in types.items():
         text = F.col(f"`{c}`").cast("string")
         if t == "date":
             out[c] = coerce.date(text)
         elif t == "numeric":
-            out[c] = F.coalesce(F.when(text.rlike(r"[eE]") & text.rlike(coerce.NUMBER), text.try_cast("double")), coerce.number(text, locales[c]))
+            out[c] = F.coalesce(F.when(text.rlike(r"[eE]") & text.rlike(coerce.NUMBER), text.try_cast("double")), coerce.number(text, locales.get(c, "en")))
         elif t == "currency":
             out[c] = coerce.currency_amount(text)
             out[f"{c}__ccy"] = coerce.currency_code(text)
@@ -85,9 +147,11 @@ def normalise(df: DataFrame, types: dict[str, str], row_index: str = "row_index"
 
 
 def multi_currency(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, codes): the columns whose text has more than one currency."""
-    parts = [df.agg(F.lit(c).alias("column_name"), F.array_join(F.sort_array(F.collect_set(coerce.currency_code(F.col(f"`{c}`").cast("string")))), ",").alias("codes")) for c in columns]
-    return reduce(DataFrame.unionAll, parts).filter(F.col("codes").contains(","))
+    """(column_name, codes): the columns whose text has more than one currency, by one aggregation over all of them."""
+    named = [F.bool_or(coerce.currency_code(F.col(f"`{c}`").cast("string")) == code).alias(f"{code}{k}") for k, c in enumerate(columns) for code in coerce.CODES]
+    codes = lambda k: F.array_join(F.array_compact(F.array(*[F.when(F.col(f"{code}{k}"), code) for code in sorted(coerce.CODES)])), ",")
+    rows = df.agg(*named).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), codes(k).alias("codes")) for k, c in enumerate(columns)])))
+    return rows.filter(F.col("codes").contains(","))
 
 
 def profile(df: DataFrame, row_index: str = "row_index", approximate: bool = False) -> DataFrame:
@@ -108,13 +172,4 @@ def samples(df: DataFrame, column: str, row_index: str = "row_index", n: int = 3
     return [r["v"] for r in first.collect()]
 
 
-def content_digest(df: DataFrame) -> str:
-    """A digest of a table's content that depends on neither the order of rows nor that of columns; repeated rows count.
-
-    Each row's SHA-256 is summed in two halves, so rows can be added up in any order; the digest is that of count and sums."""
-    import hashlib
-
-    row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256)
-    halves = [F.conv(F.substring(row, 1 + 12 * k, 12), 16, 10).cast("decimal(20,0)") for k in range(5)]
-    got = df.agg(F.count(F.lit(1)), *[F.sum(h).cast("string") for h in halves]).first()
-    return hashlib.sha256("|".join(str(x) for x in got).encode()).hexdigest()
+content_digest = hash_table

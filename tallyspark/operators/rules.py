@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import RuleError
 from ..functions.coerce import NUMERIC, day, num, shown, type_of
+from .digest import hash_record
 from .findings import SEVERITIES, Check, emit, first_of_each
 
 log = logging.getLogger(__name__)
@@ -25,12 +27,8 @@ COMPARISONS = ("gt", "gte", "lt", "lte")
 CONDITIONS = (*COMPARISONS, "eq", "neq", "in", "not_in", "is_null", "not_null", "matches", "not_matches", "weekend_transaction", "end_of_period", "cross_field_gt", "cross_field_eq", "compound")
 NEEDS = {**dict.fromkeys(COMPARISONS, "threshold"), "eq": "value", "neq": "value", "in": "values", "not_in": "values", "matches": "pattern", "not_matches": "pattern", "cross_field_gt": "reference_field", "cross_field_eq": "reference_field"}
 PLACEHOLDERS = ("__CONFIG_APPROVED_VENDORS__", "__CONFIG_PUBLIC_HOLIDAYS__")
-#: Longer lists are joined, not written into the plan; up to so many values as a broadcast.
-LIST_LIMIT, BROADCAST_VALUES = 200, 100_000
-
-
-class RuleError(ValueError):
-    """A rule, or a set of them, that can't be used."""
+#: Longer lists are joined, not written into the plan; up to so many bytes as a broadcast.
+LIST_LIMIT, BROADCAST_BYTES = 200, 8 << 20
 
 
 @dataclass
@@ -199,7 +197,7 @@ def leaf(df: DataFrame, column: str, condition: str, get, settings: Settings) ->
         return (same if condition == "eq" else c.isNotNull() & ~same), value
     if condition in ("in", "not_in"):
         values = get("values") if isinstance(get("values"), list) else [get("values")]
-        flag = membership_flag(column, values)
+        flag = membership_flag(df, column, values)
         found = F.col(flag) if flag in df.columns else membership(df, column, values)
         return (found if condition == "in" else c.isNotNull() & ~found), values
     if condition == "is_null":
@@ -247,8 +245,11 @@ def check_of(df: DataFrame, rule: Rule, settings: Settings = Settings()) -> Chec
     return Check(rule.id, rule.name, got[0], rule.severity, column, actual, got[1], f"{about} ({rule.condition})", 3, "anomaly")
 
 
-def membership_flag(column: str, values: list) -> str:
-    return f"__in_{column}_{abs(hash(tuple(map(str, values)))) % 10**9}" if len(values) > LIST_LIMIT else ""
+def membership_flag(df: DataFrame, column: str, values: list) -> str:
+    """The flag column of a long list on a column, by the list's place among those that with_memberships has joined."""
+    if len(values) <= LIST_LIMIT:
+        return ""
+    return f"__in_{column}_{hash_record({'values': [str(v) for v in values], 'kinds': [type(v).__name__ for v in values]})}"
 
 
 def with_memberships(df: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -264,16 +265,27 @@ def with_memberships(df: DataFrame, rules: list[Rule]) -> DataFrame:
 
     for rule in rules:
         for column, values in leaves(rule.condition, lambda k, r=rule: getattr(r, k, None)):
-            flag = membership_flag(column, values)
+            flag = membership_flag(df, column, values)
             if column in df.columns and flag not in df.columns:
                 kind = "double" if isinstance(type_of(df, column), NUMERIC) else "string"
                 key = member_key(df, column).cast(kind)
                 typed = list(dict.fromkeys(_typed(df, column, values)))
+                size = sum(len(v.encode()) + 24 if isinstance(v, str) else 24 for v in typed)
                 listed = df.sparkSession.createDataFrame([(v,) for v in typed], f"__key {kind}").withColumn(flag, F.lit(True))
-                df = df.withColumn("__key", key).join(F.broadcast(listed) if len(typed) <= BROADCAST_VALUES else listed, "__key", "left").drop("__key").withColumn(flag, F.coalesce(flag, F.lit(False)))
+                df = df.withColumn("__key", key).join(F.broadcast(listed) if size <= BROADCAST_BYTES else listed, "__key", "left").drop("__key").withColumn(flag, F.coalesce(flag, F.lit(False)))
     return df
 
 
+def fields_of(rules: list[Rule]) -> set[str]:
+    """All columns that the rules name."""
+
+    def named(condition, get):
+        own = {get("field"), get("reference_field"), *(get("fields") or [])} - {None}
+        return own.union(*[named(sub["condition"], sub.get) for sub in get("conditions") or []]) if condition == "compound" else own
+
+    return set().union(*[named(r.condition, lambda k, r=r: getattr(r, k, None)) for r in rules], set())
+
+
 class RuleEngine:
     """A set of rules, evaluated in one scan."""
 

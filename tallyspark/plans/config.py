@@ -8,14 +8,12 @@ from pathlib import Path
 
 import yaml
 
-from ..operators.integrity import ColumnRules, CrossCheck, IntegrityConfig
+from ..errors import ConfigError
+from ..operators.crossverify import CrossFile
+from ..operators.integrity import OPERATORS, ColumnRules, CrossCheck, IntegrityConfig
 from ..operators.rules import Settings
 
 
-class ConfigError(ValueError):
-    """A configuration that can't be used."""
-
-
 @dataclass
 class InputConfig:
     sheet: str | int | None = None
@@ -23,6 +21,7 @@ class InputConfig:
     encoding: str | None = None
     skip_rows: int = 0
     max_rows: int | None = None
+    approximate_profile: bool = True
 
 
 @dataclass
@@ -33,6 +32,8 @@ class ReviewConfig:
     batch_size: int = 50
     max_retries: int = 2
     hidden_columns: list[str] = field(default_factory=list)
+    column_notes: dict[str, str] = field(default_factory=dict)
+    write_summary: bool = False
 
 
 @dataclass
@@ -44,6 +45,8 @@ class RunConfig:
     frequent_count: int = 5
     fiscal_year_end: str = "12-31"
     flag_columns: dict[str, str] = field(default_factory=dict)
+    journal_tolerance: float = 0.005
+    cross_file: CrossFile = field(default_factory=CrossFile)
     approved_vendors: list[str] = field(default_factory=list)
     approved_vendors_file: str | None = None
     public_holidays: list[str] = field(default_factory=list)
@@ -68,7 +71,7 @@ def _fill(kind, data, where: str):
 def parse(data: dict | None) -> RunConfig:
     """A configuration from loaded YAML; unknown keys are ignored."""
     data = dict(data or {})
-    for name, kind in (("input", InputConfig), ("review", ReviewConfig)):
+    for name, kind in (("input", InputConfig), ("review", ReviewConfig), ("cross_file", CrossFile)):
         if name in data:
             data[name] = _fill(kind, data[name] or {}, name)
     if "integrity" in data:
@@ -82,6 +85,10 @@ def parse(data: dict | None) -> RunConfig:
         problems.append("review.batch_size must be from 1 to 500")
     if config.input.max_rows is not None and config.input.max_rows < 1:
         problems.append("input.max_rows must be positive")
+    if config.cross_file.file and not config.cross_file.keys:
+        problems.append("cross_file needs keys")
+    if any(len(x) != 3 or x[1] not in OPERATORS for x in config.cross_file.contradicts):
+        problems.append(f"cross_file.contradicts: each is column, operator, column; operators are {', '.join(OPERATORS)}")
     if unknown := set(config.report_formats) - {"json", "markdown", "pdf"}:
         problems.append(f"unknown report formats {sorted(unknown)}")
     try:
@@ -104,4 +111,6 @@ def load(path: str | Path) -> RunConfig:
     for key in ("rules_file", "approved_vendors_file"):
         if data and data.get(key):
             data[key] = str((path.parent / data[key]).resolve())
+    if data and (data.get("cross_file") or {}).get("file") and "://" not in data["cross_file"]["file"]:
+        data["cross_file"]["file"] = str((path.parent / data["cross_file"]["file"]).resolve())
     return parse(data)

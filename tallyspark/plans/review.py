@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import redact
 from ..operators.findings import SEVERITIES, shaped
+from .calls import CallLog
 
 REPLY = "array<struct<row_index: long, severity: string, confidence: double, reasoning: string, column_name: string>>"
 
@@ -100,28 +101,40 @@ def complete_json(client: Client, prompt: str, retries: int = 2) -> str | None:
 
 
 def batches(df: DataFrame, flagged: DataFrame, hidden: list[str], size: int = 50, row_index: str = "row_index") -> DataFrame:
-    """(batch, row_index, row): rows that no rule has flagged, hidden columns redacted, in batches of about `size`.
+    """(batch, row_index, row, flagged): rows that no rule has flagged, hidden columns redacted, in batches of about `size`, with
+    the numbers of the flagged rows of the batch's stretch.
 
     A batch is a stretch of row numbers, so no row moves and no window is needed."""
-    rest = redact(df, hidden).join(flagged.select(F.col("row_index").alias(row_index)).distinct(), row_index, "left_anti")
-    return rest.select(F.floor(F.col(row_index) / size).cast("long").alias("batch"), F.col(row_index).cast("long").alias("row_index"), F.to_json(F.struct(*[c for c in df.columns if c != row_index]), {"ignoreNullFields": "false"}).alias("row"))
+    stretch = lambda c: F.floor(F.col(c) / size).cast("long").alias("batch")
+    known = flagged.select(F.col("row_index").cast("long").alias("row_index")).distinct()
+    rest = redact(df, hidden).join(known.withColumnRenamed("row_index", row_index), row_index, "left_anti")
+    rows = rest.select(stretch(row_index), F.col(row_index).cast("long").alias("row_index"), F.to_json(F.struct(*[c for c in df.columns if c != row_index]), {"ignoreNullFields": "false"}).alias("row"))
+    beside = known.groupBy(stretch("row_index")).agg(F.sort_array(F.collect_set("row_index")).alias("flagged"))  # at most `size` each
+    return rows.join(beside, "batch", "left").select("batch", "row_index", "row", F.coalesce("flagged", F.array().cast("array<long>")).alias("flagged"))
 
 
-def prompt_for(columns: list[str], rows: list[tuple[int, str]], flagged: list[int]) -> str:
+def prompt_for(columns: list[str], rows: list[tuple[int, str]], flagged: list[int], about: dict[str, str] | None = None) -> str:
+    """about: what the columns are, by name."""
     lines = "\n".join(f'{{"row_index": {i}, "data": {row}}}' for i, row in rows)
+    told = ", ".join(f"{c} ({about[c]})" if about and about.get(c) else c for c in columns)
     return (
-        f"These are records of a ledger with the columns {', '.join(columns)}. Name the records that look wrong to an auditor.\nRows already flagged: {flagged}\n{lines}\n"
+        f"These are records of a ledger with the columns {told}. Name the records that look wrong to an auditor.\nRows already flagged by rules: {', '.join(map(str, flagged)) or 'none'}\n{lines}\n"
         "Answer with a JSON array of objects with row_index, severity (high, medium or low), confidence (0 to 1), column_name and reasoning; the reasoning must quote a value of the record. Answer [] if none looks wrong."
     )
 
 
-def ask(batched: DataFrame, client: Client, columns: list[str], retries: int = 2) -> DataFrame:
-    """(batch, reply): the client's reply on each batch, null where it fails. A batch is bounded, and batches go to tasks."""
+def ask(batched: DataFrame, client: Client, columns: list[str], retries: int = 2, log: CallLog | None = None, about: dict[str, str] | None = None) -> DataFrame:
+    """(batch, reply): the client's reply on each batch, null where it fails. A batch is bounded, and batches go to tasks.
+
+    With a log no prompt of its session is asked twice, whatever tasks are run again."""
     import pandas as pd
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(pdf["row_index"], pdf["row"]))
-        return pd.DataFrame({"batch": [pdf["batch"].iloc[0]], "reply": [complete_json(client, prompt_for(columns, rows, []), retries)]})
+        batch = int(pdf["batch"].iloc[0])
+        prompt = prompt_for(columns, sorted(zip(pdf["row_index"], pdf["row"])), sorted(pdf["flagged"].iloc[0]), about)
+        asked = lambda p: complete_json(client, p, retries)
+        reply = log.once(batch, prompt, client.name, asked)["reply"] if log else asked(prompt)
+        return pd.DataFrame({"batch": [batch], "reply": [reply]})
 
     return batched.groupBy("batch").applyInPandas(work, "batch long, reply string")
 
@@ -131,7 +144,7 @@ def validated(replies: DataFrame, batched: DataFrame, session_id: str = "session
     reasoning must contain a value of the row of three characters or more. All else is discarded."""
     said = replies.select("batch", F.explode(F.from_json("reply", REPLY)).alias("x")).select("batch", "x.*")
     said = said.filter(F.lower("severity").isin(*SEVERITIES) & F.col("confidence").between(0, 1) & (F.trim("reasoning") != ""))
-    joined = said.join(batched, ["batch", "row_index"])
+    joined = said.join(batched.select("batch", "row_index", "row"), ["batch", "row_index"])
     values = F.map_values(F.from_json("row", "map<string,string>"))
     quoted = F.exists(values, lambda v: (F.length(v) >= 3) & F.lower(F.col("reasoning")).contains(F.lower(v)))
     kept = joined.filter(quoted).withColumn("severity", F.lower("severity"))

@@ -10,13 +10,15 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import StoreError
 from ..operators.findings import SCHEMA
+from ..sources.files import Files
 
 TABLES = {
     "sessions": "session_id string, created_at string, input_path string, input_hash string, config_hash string, status string, report string",
     "decisions": "session_id string, finding_id string, decision string, note string, decided_at string",
     "rule_snapshots": "session_id string, rule_id string, body string, created_at string",
-    "llm_calls": "session_id string, provider string, prompt_tokens long, response_tokens long, latency_ms long, success boolean, created_at string",
+    "llm_calls": "session_id string, batch long, provider string, prompt_tokens long, response_tokens long, latency_ms long, success boolean, created_at string",
     "findings": SCHEMA,
 }
 
@@ -30,8 +32,7 @@ class Store:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _exists(self, name: str) -> bool:
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
+        return Files(self.spark, f"{self.path}/{name}").exists()
 
     def table(self, name: str) -> DataFrame:
         schema = TABLES[name]
@@ -46,6 +47,15 @@ class Store:
         writer = rows.write.mode("append")
         (writer.partitionBy("session_id") if name == "findings" else writer).parquet(f"{self.path}/{name}")
 
+    def replace_findings(self, session_id: str, rows: DataFrame) -> None:
+        """A session's findings, in place of any that a run cut short has left."""
+        rows.drop("session_id").write.mode("overwrite").parquet(f"{self.path}/findings/session_id={session_id}")
+
+    def replace_calls(self, session_id: str, calls: DataFrame) -> None:
+        """A session's reviewer calls, from its call log, in place of any that a run cut short has left."""
+        names = [p.split(" ")[0] for p in TABLES["llm_calls"].split(", ")]
+        calls.withColumn("created_at", F.col("answered_at")).select(*names).drop("session_id").write.mode("overwrite").parquet(f"{self.path}/llm_calls/session_id={session_id}")
+
     def save_session(self, session_id: str, **values) -> None:
         """A new state of a session; the latest counts."""
         self.append("sessions", [{"session_id": session_id, "created_at": now(), **values}])
@@ -66,6 +76,18 @@ class Store:
     def decide(self, session_id: str, finding_id: str, decision: str, note: str = "") -> None:
         self.append("decisions", [{"session_id": session_id, "finding_id": finding_id, "decision": decision, "note": note, "decided_at": now()}])
 
+    def session(self, session_id: str) -> dict:
+        """The latest state of one session."""
+        got = self.sessions().filter(F.col("session_id") == session_id).first()
+        if got is None:
+            raise StoreError(f"no session {session_id}")
+        return got.asDict()
+
+    def rules(self, session_id: str) -> list[dict]:
+        """The rules that a session ran with."""
+        latest = self.table("rule_snapshots").filter(F.col("session_id") == session_id).groupBy("rule_id").agg(F.max_by("body", "created_at").alias("body"))
+        return [json.loads(r["body"]) for r in latest.orderBy("rule_id").collect()]
+
     def save_rules(self, session_id: str, rules) -> None:
         self.append("rule_snapshots", [{"session_id": session_id, "rule_id": r.id, "body": json.dumps(r.__dict__, default=str, sort_keys=True), "created_at": now()} for r in rules])
 

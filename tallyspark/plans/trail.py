@@ -9,6 +9,8 @@ import os
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
+from ..errors import TrailError
+
 SUMMARY_CHARS = 500
 
 
@@ -36,8 +38,11 @@ class Trail:
         self.path, self.seq, self.last = Path(path), 0, ""
         if self.path.exists():
             for line in self.path.read_text(encoding="utf-8").splitlines():
-                got = json.loads(line)
-                self.seq, self.last = got["seq"] + 1, got["hash"]
+                try:
+                    got = json.loads(line)
+                    self.seq, self.last = got["seq"] + 1, got["hash"]
+                except (ValueError, KeyError) as error:
+                    raise TrailError(f"{self.path}: line {self.seq + 1} can't be read") from error
         else:
             os.close(os.open(self.path, os.O_CREAT | os.O_WRONLY, 0o600))
 
@@ -53,6 +58,15 @@ class Trail:
         self.seq += 1
         return self.last
 
+    def extend(self, session_id: str, rows, layer: str = "") -> int:
+        """Chain entries that tasks have made, in the order of rows (action, summary, details as JSON, at), which come to the
+        driver one partition at a time; how many."""
+        n = 0
+        for r in rows.toLocalIterator():
+            self.append(TrailEntry(session_id, r["action"], layer, r["summary"][:SUMMARY_CHARS], details=json.loads(r["details"])), r["at"])
+            n += 1
+        return n
+
     def seal(self, session_id: str) -> str:
         return self.append(TrailEntry(session_id, "SEAL", summary=f"{self.seq} entries"))
 

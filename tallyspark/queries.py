@@ -198,7 +198,7 @@ def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey % 2 AS debit", "(o_orderkey + 1) % 2 AS credit", "o_totalprice AS unit_price", "200000.0 AS std_price", "o_orderdate AS transaction_date", "date_add(o_orderdate, CAST(o_orderkey % 60 AS INT)) AS entry_date",
     )
     names = ["sequence_flag", "invoice_duplicate_flag", "currency_mismatch_flag", "imbalance_flag", "price_deviation_flag", "backdated_flag"]
-    return grouped.with_flags(ledger).select("txn_no", *names)
+    return grouped.with_flags(ledger.withColumn("row_index", F.col("txn_no"))).select("txn_no", *names)
 
 
 FLAGS_SQL = """

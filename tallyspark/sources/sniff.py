@@ -3,34 +3,13 @@
 from __future__ import annotations
 
 import csv
-from pathlib import Path
+from pathlib import PurePosixPath
+
+from .charset import HEAD, detect_encoding
+from .files import Files, SourceError
 
 SEPARATORS = (",", ";", "\t", "|")
 NAMED = {"pipe": "|", "tab": "\t", "comma": ",", "semicolon": ";"}
-HEAD = 100 * 1024
-
-
-class SourceError(ValueError):
-    """An input that can't be read."""
-
-
-def head(path: str | Path, size: int = HEAD) -> bytes:
-    with open(path, "rb") as f:
-        return f.read(size)
-
-
-def detect_encoding(data: bytes) -> tuple[str, float]:
-    """(encoding, confidence) of a file's head: by its mark, else UTF-8 if it decodes, else ISO 8859-1 with low confidence."""
-    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
-        if data.startswith(mark):
-            return name, 1.0
-    for cut in range(4 if len(data) >= HEAD else 1):  # a head may end inside a character
-        try:
-            text = data[: len(data) - cut].decode("utf-8")
-            return "utf-8", 1.0 if text.isascii() else 0.99
-        except UnicodeDecodeError:
-            continue
-    return "iso-8859-1", 0.5
 
 
 def detect_separator(text: str) -> str:
@@ -50,21 +29,20 @@ def detect_separator(text: str) -> str:
     return best
 
 
-def detect_format(path: str | Path) -> str:
-    """xlsx, csv or parquet: by magic, then by name, then by whether the text has a separator."""
-    path = Path(path)
-    if path.is_dir():
-        return "parquet"
-    data = head(path)
+def detect_format(path: str, data: bytes) -> str:
+    """xlsx, csv or parquet, of a file's path and head: by magic, then by name, then by whether the text has a separator."""
     if not data.strip():
         raise SourceError(f"{path} is empty")
     if data.startswith(b"PK\x03\x04"):
         return "xlsx"
     if data.startswith(b"PAR1"):
         return "parquet"
-    suffix = path.suffix.lower()
+    suffix = PurePosixPath(str(path)).suffix.lower()
     if suffix in (".xlsx", ".xls"):
         return "xlsx"
     if suffix == ".csv" or any(s in data.decode(detect_encoding(data)[0], "replace") for s in SEPARATORS):
         return "csv"
     raise SourceError(f"{path}: unknown format")
+
+
+__all__ = ["Files", "HEAD", "NAMED", "SourceError", "detect_encoding", "detect_format", "detect_separator"]

@@ -1,23 +1,30 @@
-"""A Spark data source for XLSX workbooks: a partition per sheet, cells as text, no library needed."""
+"""XLSX workbooks, cells as text, no library needed: read from any store as binary files, or, from a path that all machines
+have, by a Spark data source with a partition per sheet."""
 
 from __future__ import annotations
 
 import datetime as dt
+import io
 import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..functions.coerce import NA_TOKENS
+
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 #: The built-in number formats that show dates.
 DATE_FORMATS = {*range(14, 23), *range(45, 48)}
+NULLS = frozenset(NA_TOKENS)
 
 
-def sheets(path: str) -> list[tuple[str, str]]:
+def sheets(path) -> list[tuple[str, str]]:
     """(name, part) of each sheet, in the workbook's order."""
     with zipfile.ZipFile(path) as z:
         links = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
@@ -37,7 +44,7 @@ def _day(value: float) -> str:
     return moment.date().isoformat() if moment.time() == dt.time() else moment.isoformat(sep=" ", timespec="seconds")
 
 
-def rows(path: str, part: str) -> Iterator[list[str | None]]:
+def rows(path, part: str) -> Iterator[list[str | None]]:
     """The rows of a sheet that have a cell, as text; numbers as Python writes them, dates in ISO order."""
     with zipfile.ZipFile(path) as z:
         names = set(z.namelist())
@@ -76,7 +83,7 @@ def rows(path: str, part: str) -> Iterator[list[str | None]]:
                 row.clear()
 
 
-def header_of(path: str, part: str, skip: int) -> list[str]:
+def header_of(path, part: str, skip: int) -> list[str]:
     for k, row in enumerate(rows(path, part)):
         if k == skip:
             return [x or "" for x in row]
@@ -102,7 +109,7 @@ class XlsxReader(DataSourceReader):
                 yield tuple((row + [None] * self.width)[: self.width])
 
 
-def chosen(path: str, sheet: str | None) -> list[tuple[str, str]]:
+def chosen(path, sheet: str | None) -> list[tuple[str, str]]:
     """The sheets that an option names: by name, by position, all (`*`), or the first."""
     every = sheets(path)
     if sheet == "*":
@@ -117,6 +124,56 @@ def chosen(path: str, sheet: str | None) -> list[tuple[str, str]]:
     raise ValueError(f"{path} has no sheet {sheet!r}")
 
 
+def unique(names: list[str]) -> list[str]:
+    """Names for a header's cells: empty ones by position, repeats with a trailing _."""
+    out: list[str] = []
+    for k, n in enumerate(names):
+        name = n or f"column_{k}"
+        while name in out:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def read_sheet(spark: SparkSession, path: str, sheet: str | int | None = None, skip_rows: int = 0) -> DataFrame:
+    """(row_index, columns of the first chosen sheet's header): the rows of the chosen sheets of one workbook, in order.
+
+    A workbook is one compressed file of a bounded number of rows a sheet, so one task reads it; nothing but the header comes
+    to the driver."""
+    books = spark.read.format("binaryFile").load(path).select("content")
+    wanted = None if sheet is None else str(sheet)
+
+    def header(batches):
+        for batch in batches:
+            for content in batch.column("content").to_pylist():
+                book = io.BytesIO(content)
+                yield pa.RecordBatch.from_pydict({"name": pa.array(header_of(book, chosen(book, wanted)[0][1], skip_rows), pa.string())})
+
+    names = unique([r["name"] for r in books.mapInArrow(header, "name string").collect()])
+    width = len(names)
+
+    def read(batches):
+        at = 0
+        for batch in batches:
+            for content in batch.column("content").to_pylist():
+                book, ready = io.BytesIO(content), []
+                for _, part in chosen(book, wanted):
+                    for k, row in enumerate(rows(book, part)):
+                        if k > skip_rows:
+                            ready.append([None if c in NULLS else c for c in (row + [None] * width)[:width]])
+                        if len(ready) >= 4096:
+                            yield batch_of(at, ready)
+                            at, ready = at + len(ready), []
+                if ready:
+                    yield batch_of(at, ready)
+                    at += len(ready)
+
+    def batch_of(at: int, ready: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(range(at, at + len(ready)), pa.int64()), *(pa.array(c, pa.string()) for c in zip(*ready))], ["row_index", *(f"c{k}" for k in range(width))])
+
+    return books.mapInArrow(read, ", ".join(["row_index long", *(f"c{k} string" for k in range(width))])).toDF("row_index", *names)
+
+
 class XlsxSource(DataSource):
     """spark.read.format("xlsx").option("sheet", name or position or *).load(path): the first sheet's header names the columns."""
 
@@ -127,12 +184,8 @@ class XlsxSource(DataSource):
     def schema(self) -> StructType:
         path = self.options["path"]
         names = header_of(path, chosen(path, self.options.get("sheet"))[0][1], int(self.options.get("skipRows", 0)))
-        out, seen = StructType(), set()
-        for k, n in enumerate(names):
-            name = n or f"column_{k}"
-            while name in seen:
-                name += "_"
-            seen.add(name)
+        out = StructType()
+        for name in unique(names):
             out.add(name, "string")
         return out
 
