@@ -52,7 +52,7 @@ class Stages:
         try:
             stated = json.loads(marker.read())
             return self.spark.read.parquet(f"{self._place(layer, key)}/{stated['data']}"), stated["facts"]
-        except (ValueError, KeyError) as error:
+        except (ValueError, KeyError, OSError) as error:
             raise CheckpointError(f"{self._place(layer, key)}: {error}") from error
 
     def save(self, layer: str, key: str, df: DataFrame, facts: dict | Callable[[], dict]) -> tuple[DataFrame, dict]:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import queries_runs
 from .functions import coerce
 from .operators import grouped, integrity, profile
 from .operators.crossverify import cross_verify
@@ -285,11 +286,11 @@ def _plain() -> dict[str, tuple[Query, str]]:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _rule(name) for name in RULES} | {name: q for name, (q, _) in _plain().items()}
+    return {name: _rule(name) for name in RULES} | {name: q for name, (q, _) in (_plain() | queries_runs.queries()).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _rule_sql(name) for name in RULES} | {name: sql for name, (_, sql) in _plain().items()}
+    return {name: _rule_sql(name) for name in RULES} | {name: sql for name, (_, sql) in (_plain() | queries_runs.queries()).items()}
 
 
 __all__ = ["TABLES", "flagship", "oracle_sql", "queries"]

@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
+
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
 from ..errors import SourceError
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Only a local session gets a temporary one
+    where none is set."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if place is None and context.master.split("[")[0] != "local":
+            raise SourceError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="tallyspark-"))
+    return context.getCheckpointDir()
+
+
 class Files:
     """The files under one path."""
 
@@ -45,11 +60,14 @@ class Files:
 
     def read(self) -> bytes:
         """A small file whole."""
-        stream = self.fs.open(self.path)
         try:
-            return bytes(stream.readAllBytes())
-        finally:
-            stream.close()
+            stream = self.fs.open(self.path)
+            try:
+                return bytes(stream.readAllBytes())
+            finally:
+                stream.close()
+        except Py4JError as error:
+            raise OSError(f"{self.path.toString()} can't be read: {str(error)[:300]}") from error
 
     def write(self, data: bytes) -> None:
         """A small file, there in whole or not at all: written beside its place, then renamed."""
@@ -78,4 +96,4 @@ class Files:
         self.fs.delete(self.path, True)
 
 
-__all__ = ["Files", "SourceError"]
+__all__ = ["Files", "SourceError", "shared_folder"]
