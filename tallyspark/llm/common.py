@@ -69,12 +69,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What small_batches sets.
+BATCH_SETTINGS = {"spark.sql.parquet.columnarReaderBatchSize": READ_ROWS, "spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": SLICE_BYTES}
+_BEFORE: dict[str, dict[str, str | None]] = {}
+
+
 def small_batches(spark: SparkSession) -> None:
     """From now on the session hands Python workers at most BATCH_ROWS rows, and about SLICE_BYTES bytes, at once, and reads
-    READ_ROWS rows of parquet at once: texts may be long, and batches are held by the executor and by its workers."""
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", SLICE_BYTES)
+    READ_ROWS rows of parquet at once: texts may be long, and batches are held by the executor and by its workers.
+
+    Spark looks at these settings when a result is computed, after the operator has returned it, so they stay until
+    restore_batches(), which is for when the results have been written."""
+    _BEFORE.setdefault(spark.sparkContext.applicationId, {k: spark.conf.get(k, None) for k in BATCH_SETTINGS})
+    for key, value in BATCH_SETTINGS.items():
+        spark.conf.set(key, value)
+
+
+def restore_batches(spark: SparkSession) -> None:
+    """Give the session the batch settings back that it had before the first operator."""
+    for key, value in _BEFORE.pop(spark.sparkContext.applicationId, {}).items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def is_empty(df: DataFrame) -> bool:

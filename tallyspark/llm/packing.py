@@ -163,39 +163,61 @@ class Packer:
         return out
 
 
-def step_groups(windows: dict[int, int], tiers: tuple[int, ...], step_tokens: int, first: int) -> tuple[dict[int, int], int]:
-    """Windows (sequence -> its length) -> (sequence -> step group, the next free group)."""
-    of: dict[int, int] = {}
-    tokens: dict[int, int] = {}
-    for tier in tiers:
-        own = [s for s, t in windows.items() if t == tier]
-        n = max(1, round(len(own) * tier / step_tokens)) if own else 0
-        for k, s in enumerate(own):
-            of[s] = first + k % n
-            tokens[of[s]] = tokens.get(of[s], 0) + tier
-        first += n
-    for s in sorted(windows.keys() - of.keys(), key=lambda s: (-windows[s], s)):
-        if not tokens:
-            tokens[first], first = 0, first + 1
-        of[s] = min(tokens, key=lambda g: (tokens[g], g))
-        tokens[of[s]] += windows[s]
-    return of, first
+class StepGroups:
+    """Deals a split's windows to training steps. Each tier fills one group at a time, up to step_tokens; what is not full when
+    the split ends is filled up across tiers, the longest windows first. All windows and step_tokens are multiples of the
+    shorter ones, so every group but the last of a split has step_tokens exactly, if they are a multiple of the longest."""
+
+    def __init__(self, first: int, tiers: tuple[int, ...], step_tokens: int):
+        self.next, self.step = first, step_tokens
+        self.open: dict[int, list[tuple[int, list[tuple]]]] = {t: [] for t in tiers}  # of each tier: (tokens, rows) by window
+        self.held = dict.fromkeys(tiers, 0)
+        self.short: list[tuple[int, list[tuple]]] = []
+
+    def _close(self, windows: list[tuple[int, list[tuple]]]) -> list[tuple]:
+        self.next += 1
+        return [(*row, self.next - 1) for _, rows in windows for row in rows]
+
+    def add(self, tier: int, rows: list[tuple]) -> list[tuple]:
+        """Take a window's rows; the rows, with their group, of groups that are full now."""
+        if tier not in self.open:
+            self.short.append((tier, rows))
+            return []
+        done = []
+        if self.held[tier] and self.held[tier] + tier > self.step:
+            done, self.open[tier], self.held[tier] = self._close(self.open[tier]), [], 0
+        self.open[tier].append((tier, rows))
+        self.held[tier] += tier
+        if self.held[tier] == self.step:
+            done, self.open[tier], self.held[tier] = done + self._close(self.open[tier]), [], 0
+        return done
+
+    def finish(self) -> list[tuple]:
+        left = sorted([w for windows in self.open.values() for w in windows] + self.short, key=lambda w: -w[0])
+        out, group, held = [], [], 0
+        for window in left:
+            if held and held + window[0] > self.step:
+                out, group, held = out + self._close(group), [], 0
+            group.append(window)
+            held += window[0]
+        return out + (self._close(group) if group else [])
 
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
 def _packed(batches, path: str, end: int, tiers: tuple[int, ...], step_tokens: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    packer, gathered = Packer(TaskContext.get().partitionId() << 32, tiers), 0
-    groups = TaskContext.get().partitionId() << 32
-
-    def written() -> Iterator[pa.RecordBatch]:
-        nonlocal groups
-        rows = packer.rows()
-        of, groups = step_groups({r[6]: r[5] for r in rows}, tiers, step_tokens, groups)
-        cols = list(zip(*rows)) or [()] * 8
-        arrays = [pa.array(cols[0], id_type), *(pa.array(c, pa.int64()) for c in cols[1:5]), pa.array(cols[6], pa.int64()), pa.array(cols[7], pa.int64()), pa.array(cols[5], pa.int32()), pa.array([of[s] for s in cols[6]], pa.int64())]
-        yield pa.RecordBatch.from_arrays(arrays, ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"])
+    first = TaskContext.get().partitionId() << 32
+    packer, groups, gathered = Packer(first, tiers), StepGroups(first, tiers, step_tokens), 0
+
+    def written(last: bool = False) -> Iterator[pa.RecordBatch]:
+        windows: dict[int, list[tuple]] = {}
+        for row in packer.rows():
+            windows.setdefault(row[6], []).append(row)
+        rows = [r for own in windows.values() for r in groups.add(own[0][5], own)] + (groups.finish() if last else [])
+        cols = list(zip(*rows)) or [()] * 9
+        order = ((0, id_type), *((k, pa.int64()) for k in (1, 2, 3, 4, 6, 7)), (5, pa.int32()), (8, pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(cols[k], t) for k, t in order], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"])
 
     try:
         for batch in by_slices(batches, "text", 2 << 20):
@@ -211,15 +233,15 @@ def _packed(batches, path: str, end: int, tiers: tuple[int, ...], step_tokens: i
         if path in _IDS:
             _IDS[path].forget()
     packer.finish()
-    yield from written()
+    yield from written(last=True)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end: int = END, tiers: tuple[int, ...] = TIERS, step_tokens: int = 65_536) -> DataFrame:
     """A row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier (the window's length) and
     step_group (windows of one tier for one training step of about step_tokens).
 
-    Some million tokens at a time, each tier's windows are dealt in turn to as many step groups as their tokens fill, so
-    groups differ by one window; windows shorter than the shortest tier go to the smallest group of their batch.
+    Step groups are filled over a whole split: every group but a split's last has step_tokens exactly, or, if these are no
+    multiple of the longest tier, is within one window of them. Only groups that are not full mix tiers.
 
     tiers: ascending powers of two; the last is the longest window. Each id of each document, and its end id, lies in
     exactly one piece. Null and empty texts are the end id alone. Rows are packed one by one, repeated or not; other

@@ -20,8 +20,12 @@ from .common import durable, is_empty, join_sized, shared_folder, table
 
 MAGIC = b"WARC/1.1\r\n"
 CRLF = "\r\n"
-#: Records of an archive at most; it bounds a file's memory and the rounds of pointer jumping.
-FILE_RECORDS = 1000
+_MAGIC, _BLANK = re.compile(re.escape(MAGIC)), re.compile(rb"\r\n\r\n")
+#: Records of an archive at most, which bounds the rounds of pointer jumping, by the payload's bytes: files of up to 64 MB, or
+#: of one record.
+FILE_RECORDS = ((1 << 16, 1000), (1 << 20, 64), (1 << 24, 4), (None, 1))
+#: Bytes in which a record's header must end.
+HEAD_BYTES = 1 << 16
 #: Payloads shorter than this are stored each time.
 REVISIT_BYTES = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -34,7 +38,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     columns are ignored. An empty table gives archives without records."""
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     base = base.withColumns({"n": F.octet_length("payload"), "digest": F.sha2("payload", 256)})
-    narrow = durable(base.filter(F.col("n") >= REVISIT_BYTES).select("id", "digest"))
+    tier = F.coalesce(*[F.when(F.col("n") <= most, k) for k, (most, _) in enumerate(FILE_RECORDS) if most], F.lit(len(FILE_RECORDS) - 1))
+    narrow = durable(base.filter(F.col("n") >= REVISIT_BYTES).select("id", "digest", tier.alias("tier")))
     first = narrow.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
     again = durable(narrow.join(first, "digest").filter("id <> first").select("id", "first").distinct())
     rows = join_sized(base, again, "id", "left").withColumn("first", F.when(F.col("n") >= REVISIT_BYTES, F.col("first")))
@@ -48,7 +53,11 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         F.when(revisit, F.concat(line("WARC-Refers-To", "<urn:x-page:", text("first"), ">"), line("WARC-Profile", PROFILE))).otherwise(F.lit("")),
         line("Content-Type", "application/http; msgtype=response"), line("Content-Length", (F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("n"))).cast("string")), F.lit(CRLF), http, F.when(revisit, "").otherwise(F.col("payload")),
     )
-    rows.select(record.alias("record")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    large = {r["tier"] for r in narrow.select("tier").distinct().collect()} - {0}
+    for k, (_, records) in enumerate(FILE_RECORDS):
+        if k == 0 or k in large:
+            part = rows.filter(tier == k).select(record.alias("record"))
+            part.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records).mode("append" if k else "errorifexists").text(path)
 
 
 def _candidates(batches, with_payload: bool) -> Iterator[pa.RecordBatch]:
@@ -57,26 +66,27 @@ def _candidates(batches, with_payload: bool) -> Iterator[pa.RecordBatch]:
     types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_()] + [pa.binary()] * with_payload
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-            data = memoryview(content.as_buffer())
-            whole, rows = content.as_py(), []
-            for m in re.finditer(re.escape(MAGIC), whole):
-                end = whole.find(b"\r\n\r\n", m.end())
-                head = dict(re.findall(rb"(?m)^([A-Za-z-]+): ?(.*?)\r?$", whole[m.end() : end])) if end >= 0 else {}
+            data, rows = memoryview(content.as_buffer()), []
+            for m in _MAGIC.finditer(data):
+                gap = _BLANK.search(data, m.end(), m.end() + HEAD_BYTES)
+                head = dict(re.findall(rb"(?m)^([A-Za-z-]+): ?(.*?)\r?$", data[m.end() : gap.start()])) if gap else {}
                 size = head.get(b"Content-Length", b"")
                 if not size.isdigit():
                     continue
-                block = end + 4
+                block = gap.end()
                 stop = block + int(size)
                 kind, text = head.get(b"WARC-Type", b"").decode("utf-8", "replace"), lambda k, head=head: head.get(k, b"").decode("utf-8", "replace")
-                http = whole.find(b"\r\n\r\n", block, stop)
-                payload = data[http + 4 : stop] if http >= 0 else data[block:stop]
+                http = _BLANK.search(data, block, stop)
+                payload = data[http.end() : stop] if http else data[block:stop]
                 stored = text(b"WARC-Payload-Digest").removeprefix("sha256:")
+                # Only a place whose end another record's start, or the file's end, follows can be whole: others need no digest.
+                ends = stop + 4 >= len(data) or data[stop : stop + 4 + len(MAGIC)] == b"\r\n\r\n" + MAGIC
                 if kind == "revisit":
                     length = text(b"WARC-Payload-Length")
                     digest, n, intact = stored, int(length) if length.isdigit() else 0, True
                 else:
-                    digest, n = sha256(payload).hexdigest(), len(payload)
-                    intact = stop <= len(whole) and stored in ("", digest)
+                    digest, n = sha256(payload).hexdigest() if ends else None, len(payload)
+                    intact = ends and stop <= len(data) and stored in ("", digest)
                 bare = lambda k: text(k).strip("<>").removeprefix("urn:x-page:") or None
                 rows.append((path, m.start(), stop + 4, kind, bare(b"WARC-Record-ID"), bare(b"WARC-Refers-To"), n, digest, intact, *([bytes(payload)] if with_payload else [])))
             cols = list(zip(*rows)) or [()] * len(names)
@@ -100,7 +110,8 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
     """The records of the archives under path: record_type, id, refers_to, payload_bytes, payload_digest, intact (whether a
     response's payload has the digest that its header states), and the payload if asked for.
 
-    Archives are read whole, a file to a task at a time, so they should be of bounded size, as write_warc makes them."""
+    Archives are read whole, a file to a task at a time, so they should be of bounded size, as write_warc makes them. A record
+    that does not end before another one, or at the file's end, is not intact and has no digest."""
     rest = ", payload binary" if with_payload else ""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     found = files.mapInArrow(lambda b: _candidates(b, with_payload), f"file string, at long, next long, record_type string, id string, refers_to string, payload_bytes long, payload_digest string, intact boolean{rest}")

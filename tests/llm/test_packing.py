@@ -1,12 +1,12 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyspark.llm.packing import TIERS, pack_documents, step_groups, token_bytes
+from tallyspark.llm.packing import TIERS, StepGroups, pack_documents, token_bytes
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -46,14 +46,24 @@ def test_every_id_lies_in_one_piece_and_windows_are_full(spark):
         assert len({r.step_group for r in own}) == 1
 
 
-def test_step_groups_are_balanced():
-    windows = {s: (2048 if s < 70 else 512 if s < 200 else 64) for s in range(203)}
-    of, free = step_groups(windows, TIERS, 65_536, 10)
-    assert of.keys() == windows.keys() and free == max(of.values()) + 1
-    for tier in (512, 2048):
-        sizes = [sum(of[s] == g for s, t in windows.items() if t == tier) for g in {of[s] for s, t in windows.items() if t == tier}]
-        assert max(sizes) - min(sizes) <= 1 and abs(sum(sizes) / len(sizes) * tier - 65_536) < 40_000
-    assert step_groups({1: 4}, TIERS, 65_536, 0) == ({1: 0}, 1) and step_groups({}, TIERS, 65_536, 3) == ({}, 3)
+def test_step_groups_are_full_over_a_whole_split():
+    for step in (65_536, 3000):
+        groups, rng, got = StepGroups(10, TIERS, step), random.Random(step), {}
+        windows = {s: rng.choice([*TIERS, 2048]) for s in range(3000)} | {5000 + k: 64 >> k for k in range(4)}
+        for s, t in windows.items():
+            for row in groups.add(t, [(s, "a"), (s, "b")]):
+                got.setdefault(row[0], set()).add(row[2])
+        for row in groups.finish():
+            got.setdefault(row[0], set()).add(row[2])
+        assert got.keys() == windows.keys() and all(len(g) == 1 for g in got.values())
+        tokens = Counter()
+        for s, (g,) in got.items():
+            tokens[g] += windows[s]
+        assert sorted(tokens) == list(range(10, 10 + len(tokens)))
+        last = max(tokens)
+        assert all(step - 2048 < n <= step for g, n in tokens.items() if g != last) and tokens[last] <= step
+        assert step % 2048 or all(n == step for g, n in tokens.items() if g != last)
+    assert StepGroups(3, TIERS, 65_536).finish() == []
 
 
 def test_empty_table(spark):
