@@ -37,6 +37,11 @@ def verify_hash(found: str, stated: str) -> bool:
     return hmac.compare_digest(found.lower(), stated.lower())
 
 
+def text_digest(column: str) -> Column:
+    """The digest of each text of a column, as hash_text gives it; null of null."""
+    return F.sha2(F.encode(F.col(column), "UTF-8"), 256)
+
+
 def _row_parts(df: DataFrame, columns: list[str]) -> list[Column]:
     row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)
     return [F.conv(F.substring(row, 1 + 12 * k, 12), 16, 10).cast("decimal(20,0)").alias(SUMS[k]) for k in range(PARTS)]

@@ -190,10 +190,17 @@ def duplicate_findings(df: DataFrame, ic: str, columns: list[str], session_id: s
     return shaped(found.withColumns(values).withColumn("finding_id", F.sha2(F.concat_ws("|", F.lit(session_id), F.lit(ic), F.col("row_index").cast("string"), F.lit("")), 256)))
 
 
+def referenced(df: DataFrame, column: str, reference: DataFrame, there: bool = True) -> DataFrame:
+    """The rows of df whose value in the column is in a table's first column, or, unless there, those of which it is not; a null
+    value is neither."""
+    allowed = reference.select(F.col(reference.columns[0]).cast("string").alias("__allowed")).filter("__allowed is not null").distinct()
+    known = df.filter(F.col(f"`{column}`").isNotNull()).withColumn("__v", shown(df, column))
+    return known.join(allowed, F.col("__v") == F.col("__allowed"), "left_semi" if there else "left_anti").drop("__v")
+
+
 def reference_findings(df: DataFrame, column: str, reference: DataFrame, session_id: str = "session", row_index: str = "row_index") -> DataFrame:
     """IC-008 against a table with one column of allowed values: an anti-join, broadcast by Spark if the table is small."""
-    allowed = reference.select(F.col(reference.columns[0]).cast("string").alias("__allowed")).filter("__allowed is not null").distinct()
-    missing = df.filter(F.col(f"`{column}`").isNotNull()).withColumn("__v", shown(df, column)).join(allowed, F.col("__v") == F.col("__allowed"), "left_anti")
+    missing = referenced(df, column, reference, there=False)
     return emit(missing, [_check(df, "IC-008", column, F.lit(True), "high", "reference set", f"{column} is not a reference value")], session_id, row_index)
 
 

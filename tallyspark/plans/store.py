@@ -62,9 +62,7 @@ class Store:
 
     def sessions(self, last: int | None = None) -> DataFrame:
         """The latest state of each session, newest first."""
-        latest = self.table("sessions").groupBy("session_id").agg(F.max(F.struct("created_at", "input_path", "input_hash", "config_hash", "status", "report")).alias("s"), F.min("created_at").alias("started_at")).select("session_id", "started_at", "s.*")
-        ordered = latest.orderBy(F.desc("started_at"), "session_id")
-        return ordered.limit(last) if last is not None else ordered
+        return latest_sessions(self.table("sessions"), last)
 
     def findings(self, session_id: str) -> DataFrame:
         """A session's findings with the latest decision on each."""
@@ -92,6 +90,14 @@ class Store:
         self.append("rule_snapshots", [{"session_id": session_id, "rule_id": r.id, "body": json.dumps(r.__dict__, default=str, sort_keys=True), "created_at": now()} for r in rules])
 
 
+def latest_sessions(states: DataFrame, last: int | None = None) -> DataFrame:
+    """Of states of sessions, the latest of each, the sessions that began last first; of many only the first `last`."""
+    state = F.max(F.struct("created_at", "input_path", "input_hash", "config_hash", "status", "report"))
+    latest = states.groupBy("session_id").agg(state.alias("s"), F.min("created_at").alias("started_at")).select("session_id", "started_at", "s.*")
+    ordered = latest.orderBy(F.desc("started_at"), "session_id")
+    return ordered.limit(last) if last is not None else ordered
+
+
 def llm_stats(calls: DataFrame) -> DataFrame:
     """One row: calls, successes, tokens and mean latency."""
     return calls.agg(

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from . import queries_runs
 from .functions import coerce
-from .operators import grouped, integrity, profile
+from .operators import digest, grouped, integrity, profile
 from .operators.crossverify import cross_verify
 from .operators.findings import check_scores, integrity_score, rollup, severity_counts, summary, top, union_distinct
 from .operators.integrity import ColumnRules, CrossCheck, IntegrityConfig
 from .operators.rules import RuleEngine, Settings, build
 from .plans import report, review
-from .plans.store import TABLES, llm_stats
+from .plans.store import TABLES, latest_sessions, llm_stats
 from .streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,19 +155,20 @@ def cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_verify(found.select("row_index", "line_status"), orders, "row_index", F.col("line_status") != F.col("o_orderstatus")).distinct().groupBy("cross_verify_status").agg(F.count(F.lit(1)).alias("n"))
 
 
-REPLIES = [
-    '[{"row_index": 1, "severity": "high", "confidence": 0.9, "reasoning": "customer name Customer#000000001 looks odd", "column_name": "c_name"}]',
-    '[{"row_index": 2, "severity": "high", "confidence": 1.5, "reasoning": "Customer#000000002", "column_name": "c_name"}]',
-    '[{"row_index": 3, "severity": "grave", "confidence": 0.5, "reasoning": "Customer#000000003", "column_name": "c_name"}]',
-    '[{"row_index": 4, "severity": "low", "confidence": 0.5, "reasoning": "nothing quoted", "column_name": "c_name"}]',
-    "not json",
-]
+def validate_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is kept of replies on batches of customers, of which some name rows outside of the batch, unknown severities or
+    impossible confidences, or quote nothing of the row."""
+    rows = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 50).alias("batch"), F.col("c_custkey").alias("row_index"), F.to_json(F.struct("c_name")).alias("row"), "c_name")
+    k = F.col("row_index")
+    said = F.struct(
+        F.when(k % 11 == 0, k + 1_000_000).otherwise(k).alias("row_index"), F.when(k % 5 == 0, "grave").otherwise("HIGH").alias("severity"), F.when(k % 7 == 0, 1.5).otherwise(0.5).alias("confidence"),
+        F.when(k % 3 == 0, "nothing quoted").otherwise(F.concat(F.lit("odd: "), F.lower("c_name"))).alias("reasoning"), F.lit("c_name").alias("column_name"),
+    )
+    replies = rows.groupBy("batch").agg(F.to_json(F.collect_list(said)).alias("reply")).withColumn("reply", F.when(F.col("batch") % 13 == 12, "no json").otherwise(F.col("reply")))
+    return review.validated(replies, rows.drop("c_name")).select("row_index", "severity", "confidence")
 
 
-def validate_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(0, i, '{"c_name": "Customer#%09d"}' % i) for i in range(1, 6)]
-    batched = spark.createDataFrame(rows, "batch long, row_index long, row string")
-    return review.validated(spark.createDataFrame([(0, r) for r in REPLIES], "batch long, reply string"), batched).select("row_index", "severity", "confidence")
+VALIDATED_SQL = "SELECT c_custkey AS row_index, 'high' AS severity, 0.5::DOUBLE AS confidence FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 3 <> 0 AND (c_custkey // 50) % 13 <> 12"
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +215,7 @@ FROM l
 def unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R014 as a relation: orders without a returned line."""
     returned = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").join(returned, "o_orderkey", "left_anti").select("o_orderkey")
+    return integrity.referenced(table(spark, sf_dir, "orders"), "o_orderkey", returned, there=False).select("o_orderkey")
 
 
 def _orders_text(spark: SparkSession, sf_dir: str, **columns) -> DataFrame:
@@ -258,8 +259,8 @@ def _plain() -> dict[str, tuple[Query, str]]:
         "r014_unmatched": (unmatched, "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')"),
         "r017_price_dev": (prices, f"SELECT {KEYS['lineitem']} AS row_index FROM lineitem JOIN part ON p_partkey = l_partkey WHERE abs(l_extendedprice / l_quantity - p_retailprice) > 0.2 * p_retailprice"),
         "r019_backdated": (late_entries, f"SELECT {KEYS['lineitem']} AS row_index FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE date_diff('day', o_orderdate, l_shipdate) > 30"),
-        "ref_semi": (lambda s, d: t(s, d, "supplier").join(t(s, d, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("s_nationkey")), "s_nationkey", "left_semi").select("s_suppkey"), "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)"),
-        "ref_anti": (lambda s, d: t(s, d, "supplier").join(t(s, d, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("s_nationkey")), "s_nationkey", "left_anti").select("s_suppkey"), "SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)"),
+        "ref_semi": (lambda s, d: integrity.referenced(t(s, d, "supplier"), "s_nationkey", t(s, d, "nation").filter("n_regionkey = 1").select("n_nationkey")).select("s_suppkey"), "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)"),
+        "ref_anti": (lambda s, d: integrity.referenced(t(s, d, "supplier"), "s_nationkey", t(s, d, "nation").filter("n_regionkey = 1").select("n_nationkey"), there=False).select("s_suppkey"), "SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)"),
         "cross_verify": (cross, "WITH f AS (SELECT DISTINCT l_orderkey AS k, l_linestatus AS st FROM lineitem WHERE l_quantity >= 50) SELECT CASE WHEN o_orderkey IS NULL THEN 'UNVERIFIABLE' WHEN st <> o_orderstatus THEN 'CONFIRMED' ELSE 'UNCONFIRMED' END AS cross_verify_status, count(*) AS n FROM f LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 50000) ON o_orderkey = k GROUP BY ALL"),
         "prune_empty": (lambda s, d: profile.prune_empty(_orders_text(s, d, a=F.expr("nullif(o_orderstatus, 'O')"), b=F.expr("nullif(o_orderpriority, '5-LOW')"), nothing=F.lit(None).cast("string")), ("o_orderkey",)), "SELECT o_orderkey, nullif(o_orderstatus, 'O') AS a, nullif(o_orderpriority, '5-LOW') AS b FROM orders WHERE nullif(o_orderstatus, 'O') IS NOT NULL OR nullif(o_orderpriority, '5-LOW') IS NOT NULL"),
         "profile": (lambda s, d: profile.profile(_orders_text(s, d, status=F.expr("nullif(o_orderstatus, 'P')"), priority=F.col("o_orderpriority")), "o_orderkey"), "SELECT 'status' AS column_name, count(*) AS row_count, count(*) FILTER (WHERE o_orderstatus = 'P') AS null_count, count(*) FILTER (WHERE o_orderstatus = 'P') / count(*) AS null_ratio, count(DISTINCT nullif(o_orderstatus, 'P')) AS unique_count FROM orders UNION ALL SELECT 'priority', count(*), 0, 0, count(DISTINCT o_orderpriority) FROM orders"),
@@ -276,10 +277,10 @@ def _plain() -> dict[str, tuple[Query, str]]:
         "snake_case": (lambda s, d: t(s, d, "customer").select("c_custkey", coerce.snake_column(F.col("c_name")).alias("v")), "SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '_', 'g'), '_') AS v FROM customer"),
         "pii_redact": (lambda s, d: coerce.redact(t(s, d, "customer"), ["c_name"]).select("c_custkey", "c_name"), "SELECT c_custkey, '[REDACTED]' AS c_name FROM customer"),
         "llm_batches": (lambda s, d: unflagged_batches(s, d).groupBy("batch").agg(F.count(F.lit(1)).alias("n")), "SELECT c_custkey // 50 AS batch, count(*) AS n FROM customer GROUP BY 1"),
-        "llm_response_validate": (validate_replies, "SELECT 1::BIGINT AS row_index, 'high' AS severity, 0.9::DOUBLE AS confidence"),
+        "llm_response_validate": (validate_replies, VALIDATED_SQL),
         "llm_stats": (lambda s, d: llm_stats(calls(s, d)), "SELECT count(*) AS calls, count(*) FILTER (WHERE event_id % 3 = 0) AS successes, sum(event_id)::BIGINT AS prompt_tokens, sum(event_id % 7)::BIGINT AS response_tokens, round(avg(user_id % 100), 3) AS latency_ms FROM events"),
-        "sessions_last_n": (lambda s, d: t(s, d, "events").select(F.col("event_id").alias("session_id"), "ts").orderBy(F.desc("ts"), "session_id").limit(20).select("session_id"), "SELECT event_id AS session_id FROM events ORDER BY ts DESC, event_id LIMIT 20"),
-        "content_hash": (lambda s, d: t(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest")), "SELECT doc_id, sha256(text) AS digest FROM documents"),
+        "sessions_last_n": (lambda s, d: latest_sessions(t(s, d, "events").select(F.col("event_id").alias("session_id"), F.col("ts").alias("created_at"), *[F.lit(None).cast("string").alias(c) for c in ("input_path", "input_hash", "config_hash", "status", "report")]), 20).select("session_id"), "SELECT event_id AS session_id FROM events ORDER BY ts DESC, event_id LIMIT 20"),
+        "content_hash": (lambda s, d: t(s, d, "documents").select("doc_id", digest.text_digest("text").alias("digest")), "SELECT doc_id, sha256(text) AS digest FROM documents"),
         "stream_window_counts": (lambda s, d: windows.window_counts(t(s, d, "events"), "ts", ["event_type"]), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL"),
         "pii_text_email": (lambda s, d: t(s, d, "documents").filter(F.col("text").rlike(r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]+")).select("doc_id"), r"SELECT doc_id FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]+')"),
     }
