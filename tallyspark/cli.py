@@ -23,6 +23,7 @@ from .plans.config import load as load_config
 from .plans.config import parse as parse_config
 from .plans.store import Store
 from .plans.trail import Trail, TrailEntry, verify
+from .shipping import ship
 
 OK, BAD_INPUT, FAILED, NO_REVIEWER, BAD_STORE = range(5)
 DECISIONS = {"a": "accepted", "r": "rejected", "s": "skipped"}
@@ -31,6 +32,7 @@ DECISIONS = {"a": "accepted", "r": "rejected", "s": "skipped"}
 def session() -> SparkSession:
     spark = SparkSession.builder.appName("audit").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 from ..functions import coerce
 from .digest import hash_table
@@ -101,7 +101,8 @@ def survey(df: DataFrame, row_index: str = "row_index", hints: dict[str, str] |
     aggs = [F.count(F.lit(1)).alias("rows"), F.min(row_index).alias("first"), F.max(row_index).alias("last")]
     for k, c in enumerate(columns):
         x = F.col(f"`{c}`")
-        aggs += [F.count(x).alias(f"n{k}"), unique(x).alias(f"u{k}")]
+        nested = isinstance(df.schema[c].dataType, (ArrayType, MapType, StructType))
+        aggs += [F.count(x).alias(f"n{k}"), unique(x.cast("string") if nested else x).alias(f"u{k}")]
         if isinstance(df.schema[c].dataType, StringType):
             aggs += [F.bool_or(coerce.currency_code(x) == code).alias(f"{code}{k}") for code in coerce.CODES]
     facts = df.agg(*aggs).first().asDict()

@@ -138,6 +138,13 @@ UNION ALL SELECT 'IC-007', 1 FROM customer WHERE NOT regexp_matches(c_mktsegment
 """
 
 
+RECOMMENDED_SQL = f"""
+WITH c AS (SELECT (SELECT count(*) FROM ({THREE_SQL}) WHERE severity = 'high') AS high, (SELECT count(*) FROM ({SCORE_SQL}) WHERE rule_id = 'IC-006') AS negative),
+l AS (SELECT list_filter([CASE WHEN high > 3 THEN 'Escalate: there are more than three findings of high severity.' END, CASE WHEN negative > 0 THEN 'Verify the negative amounts against their documents.' END], lambda x: x IS NOT NULL) AS said FROM c)
+SELECT (generate_subscripts(said, 1) - 1)::INTEGER AS position, unnest(said) AS recommendation FROM l
+"""
+
+
 def infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The type of each column of orders, as text, from its first values."""
     df = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_index"), F.col("o_orderkey").cast("string").alias("number"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"), F.concat(F.lit("USD "), F.col("o_custkey").cast("string")).alias("money"), "o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, "yes").otherwise("no").alias("answer"), F.when(F.col("o_orderkey") % 2 == 0, "7").otherwise("x7y").alias("mixture"), F.lit(None).cast("string").alias("nothing"), F.concat(F.lit("TXN"), F.col("o_orderkey").cast("string")).alias("identifier"))
@@ -236,7 +243,7 @@ def _plain() -> dict[str, tuple[Query, str]]:
         "severity_rollup": (lambda s, d: rollup(three(s, d)), f"SELECT severity, rule_id, count(*) AS n FROM ({THREE_SQL}) GROUP BY ROLLUP (severity, rule_id)"),
         "topk_findings": (lambda s, d: top(three(s, d)).select("severity", "row_index", "rule_id"), f"SELECT severity, row_index, rule_id FROM ({THREE_SQL}) ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, row_index, rule_id LIMIT 50"),
         "findings_union_dedup": (lambda s, d: union_distinct(three(s, d), three(s, d).filter("severity = 'high'")).select("row_index", "rule_id"), f"SELECT DISTINCT row_index, rule_id FROM ({THREE_SQL})"),
-        "recommendations": (lambda s, d: report.recommendations(three(s, d).unionByName(score_findings(s, d))), "SELECT * FROM (VALUES (0::INT, 'Escalate: there are more than three findings of high severity.'), (1::INT, 'Verify the negative amounts against their documents.')) t(position, recommendation)"),
+        "recommendations": (lambda s, d: report.recommendations(three(s, d).unionByName(score_findings(s, d))), RECOMMENDED_SQL),
         "ic001_nulls": (_checks("orders", IntegrityConfig({"o_orderstatus": ColumnRules(required=True)}), "IC-001", {"o_orderstatus": "nullif(o_orderstatus, 'P')"}), _ic("orders", "IC-001", "o_orderstatus", "high", "o_orderstatus = 'P'")),
         "ic002_dup_rows": (_checks("documents", IntegrityConfig(), "IC-002", keep=["text"]), _ic("documents", "IC-002", None, "high", "text IN (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)")),
         "ic003_dup_keys": (_checks("lineitem", IntegrityConfig(primary_key=["l_orderkey", "l_linenumber"]), "IC-003"), _ic("lineitem", "IC-003", "l_orderkey, l_linenumber", "high", "(l_orderkey, l_linenumber) IN (SELECT (l_orderkey, l_linenumber) FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)")),
@@ -265,8 +272,8 @@ def _plain() -> dict[str, tuple[Query, str]]:
         "prune_empty": (lambda s, d: profile.prune_empty(_orders_text(s, d, a=F.expr("nullif(o_orderstatus, 'O')"), b=F.expr("nullif(o_orderpriority, '5-LOW')"), nothing=F.lit(None).cast("string")), ("o_orderkey",)), "SELECT o_orderkey, nullif(o_orderstatus, 'O') AS a, nullif(o_orderpriority, '5-LOW') AS b FROM orders WHERE nullif(o_orderstatus, 'O') IS NOT NULL OR nullif(o_orderpriority, '5-LOW') IS NOT NULL"),
         "profile": (lambda s, d: profile.profile(_orders_text(s, d, status=F.expr("nullif(o_orderstatus, 'P')"), priority=F.col("o_orderpriority")), "o_orderkey"), "SELECT 'status' AS column_name, count(*) AS row_count, count(*) FILTER (WHERE o_orderstatus = 'P') AS null_count, count(*) FILTER (WHERE o_orderstatus = 'P') / count(*) AS null_ratio, count(DISTINCT nullif(o_orderstatus, 'P')) AS unique_count FROM orders UNION ALL SELECT 'priority', count(*), 0, 0, count(DISTINCT o_orderpriority) FROM orders"),
         "infer_schema": (infer, INFER_SQL),
-        "detect_locale": (lambda s, d: coerce.detect_locale(_orders_text(s, d, v=swap(price())), "v", "o_orderkey"), "SELECT 'vi' AS locale"),
-        "multi_currency": (lambda s, d: profile.multi_currency(_orders_text(s, d, both=F.concat(F.when(F.col("o_orderkey") % 2 == 0, "USD ").otherwise("VND "), price()), one=F.concat(F.lit("USD "), price())), ["both", "one"]), "SELECT 'both' AS column_name, 'USD,VND' AS codes"),
+        "detect_locale": (lambda s, d: coerce.detect_locale(_orders_text(s, d, v=swap(price())), "v", "o_orderkey"), r"SELECT CASE WHEN count(*) >= 5 AND count(*) FILTER (WHERE regexp_matches(v, ',[0-9]{2}$')) > count(*) FILTER (WHERE regexp_matches(v, '[.][0-9]{2}$')) THEN 'vi' ELSE 'en' END AS locale FROM (SELECT translate(format('{:,.2f}', o_totalprice), ',.', '.,') AS v FROM orders ORDER BY o_orderkey LIMIT 20)"),
+        "multi_currency": (lambda s, d: profile.multi_currency(_orders_text(s, d, both=F.concat(F.when(F.col("o_orderkey") % 2 == 0, "USD ").otherwise("VND "), price()), one=F.concat(F.lit("USD "), price())), ["both", "one"]), "SELECT column_name, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM (SELECT 'both' AS column_name, CASE WHEN o_orderkey % 2 = 0 THEN 'USD' ELSE 'VND' END AS code FROM orders UNION ALL SELECT 'one', 'USD' FROM orders) GROUP BY column_name HAVING count(DISTINCT code) > 1"),
         "norm_number_en": (lambda s, d: _orders_text(s, d, v=coerce.number(price(), "en")), "SELECT o_orderkey, round(o_totalprice, 2) AS v FROM orders"),
         "norm_number_vi": (lambda s, d: _orders_text(s, d, v=coerce.number(swap(price()), "vi")), "SELECT o_orderkey, round(o_totalprice, 2) AS v FROM orders"),
         "norm_number_paren": (lambda s, d: t(s, d, "customer").select("c_custkey", coerce.number(F.concat(F.lit("("), F.format_number(F.abs("c_acctbal"), 2), F.lit(")"))).alias("v")), "SELECT c_custkey, -round(abs(c_acctbal), 2) AS v FROM customer"),

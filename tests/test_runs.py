@@ -257,6 +257,13 @@ def test_a_survey_takes_two_jobs_whatever_the_columns(spark):
     assert jobs <= 6  # adaptive execution splits an aggregation into jobs by stage
 
 
+def test_a_run_over_parquet_with_nested_columns_and_many_renamed_ones(spark, tmp_path):
+    spark.range(30).selectExpr("id AS `Txn No`", "id * 1000000000 AS Amount", "map('k', id) AS m", "array(id) AS a", "struct(id) AS s", *[f"CASE WHEN id % 2 = 0 THEN 'x{k}' END AS `Column {k}`" for k in range(40)]).repartition(3).write.parquet(str(tmp_path / "p"))
+    run = run_audit(spark, str(tmp_path / "p"), tmp_path / "o", session_id="s")
+    assert not run.errors and run.source["rows"] == 30 and run.types["column_7"] == "text"
+    assert {r.row_index for r in run.anomalies.filter("rule_id = 'R001'").collect()} == {r.row_index for r in run.table.filter("amount > 500000000").collect()} and run.anomalies.filter("rule_id = 'R001'").count() == 29
+
+
 def test_duplicate_checks_move_no_whole_rows(spark):
     from tallyspark.operators import integrity
 
