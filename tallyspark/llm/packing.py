@@ -12,6 +12,7 @@ import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import islice
 
 import public_tokenizers
 import pyarrow as pa
@@ -27,49 +28,64 @@ TIERS = (256, 512, 1024, 2048)
 END = 1
 #: Token ids that a task gathers before it packs them.
 BATCH_TOKENS = 2_000_000
-_ASCII_MARKS = r"!-/:-@\[-`{-~"
-_PLAIN = re.compile(rf"([{_ASCII_MARKS}]*)([A-Za-zÀ-ÖØ-öø-ÿ]*)([{_ASCII_MARKS}]*)")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 class WordIds(dict):
     """Token ids, as little-endian unsigned 32-bit bytes, of strings without ASCII white space, remembered up to a bound.
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are those of its strings in turn.
-    Runs of letters and of marks, which are most strings, go to the BPE model piece by piece; all others to the tokenizer."""
+    Letters and the marks before and after them are tokenized apart, so a string's ids are those of its parts; only letters
+    are remembered, once for all marks beside them. They go to the BPE model itself, all other strings to the tokenizer. When
+    the bound is reached, the older half goes."""
 
     def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.most, self.runs = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in plain]
         self.byte_chars = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.marks: dict[str, bytes] = {"": b""}
+        self.last = {ord(m): self._marked(m) for m in ".,;:!?)-"}  # marks that often end a string
 
     def forget(self) -> None:
         """Give the memory of words, and what Arrow holds in reserve, back to the system."""
         self.clear()
-        self.runs.clear()
         pa.default_memory_pool().release_unused()
 
-    def _run(self, run: str) -> bytes:
-        got = self.runs.get(run)
+    def _model(self, text: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(text)])
+
+    def _marked(self, marks: str) -> bytes:
+        got = self.marks.get(marks)
         if got is None:
-            if len(self.runs) >= self.most:
-                self.runs.clear()
-            text = run.encode().decode("latin-1").translate(self.byte_chars)
-            got = self.runs[run] = b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(text))
+            got = self._model(marks)
+            if len(self.marks) < 10_000:
+                self.marks[marks] = got
         return got
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        text = word.decode()
-        plain = _PLAIN.fullmatch(text)
-        if plain and "'" not in plain[1] and "<|" not in text:
-            got = b"".join(self._run(x.lower()) for x in plain.groups() if x)
+        if (last := self.last.get(word[-1])) and word[-2:-1].isalpha() and (known := self.get(word[:-1])):
+            return known + last
+        if word.isalpha():  # of ASCII letters, which the model knows as they are
+            got = self._model(word.lower().decode())
         else:
-            got = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
+            text = word.decode()
+            left = text.lstrip(_MARKS)
+            letters = left.rstrip(_MARKS)
+            before, after = text[: len(text) - len(left)], left[len(letters) :]
+            if "'" in before or "<|" in text or letters and not _LETTERS.fullmatch(letters):
+                got = b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+            elif before or after:
+                return self._marked(before) + (self[letters.encode()] if letters else b"") + self._marked(after)
+            else:
+                got = self._model(letters.lower().encode().decode("latin-1").translate(self.byte_chars))
+        if len(self) >= self.most:
+            for old in list(islice(self, self.most // 2)):
+                del self[old]
         self[word] = got
         return got
 
