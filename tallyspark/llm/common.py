@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -104,21 +105,22 @@ def by_slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BY
             yield batch.slice(start, step)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+class Remembered(dict):
+    """What a function gives for keys, remembered up to a bound; when that is reached, the older half goes."""
 
-    def __init__(self, most: int = 100_000):
+    def __init__(self, of: Callable, most: int):
         super().__init__()
-        self.most = most
+        self.of, self.most = of, most
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, key):
         if len(self) >= self.most:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
+            for old in list(islice(self, self.most // 2)):
+                del self[old]
+        got = self[key] = self.of(key)
         return got
 
 
-_WORDS = WordHashes()
+_WORDS = Remembered(xxhash.xxh3_64_intdigest, 100_000)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 

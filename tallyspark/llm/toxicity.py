@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slices, small_batches, table, words_of
+from .common import Remembered, by_slices, small_batches, table, words_of
 
 #: Hash space of features while they are selected, and lengths of the word prefixes that are features beside whole words.
 BINS = 1 << 22
@@ -92,28 +92,24 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, most_feat
     return OrdinalModel(index, p[: len(chosen)], p[len(chosen)] + np.concatenate([[0], np.cumsum(np.exp(p[len(chosen) + 1 :]))]))
 
 
-class _Known(dict):
-    """Words' features in the model, as (column, ...) tuples, remembered up to a bound."""
+#: Words whose features a worker remembers.
+REMEMBERED = 60_000
 
-    def __init__(self, index: dict[int, int], most: int = 60_000):
-        super().__init__()
-        self.index, self.most = index, most
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= self.most:
-            self.clear()
-        got = self[word] = tuple(self.index[f] for f in features_of(word) if f in self.index)
-        return got
+def _known(index: dict[int, int]) -> Remembered:
+    """Words' features in the model, as (column, ...) tuples."""
+    return Remembered(lambda word: tuple(index[f] for f in features_of(word) if f in index), REMEMBERED)
 
 
 def _extracted(batches) -> Iterator[pa.RecordBatch]:
+    remembered = Remembered(features_of, REMEMBERED // 4)
     for batch in by_slices(batches, "text"):
-        rows = [counted(text, features_of) for text in batch.column("text").to_pylist()]
+        rows = [counted(text, remembered.__getitem__) for text in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([r[0].astype(np.uint32).tobytes() for r in rows], pa.binary()), pa.array([r[1].astype(np.uint32).tobytes() for r in rows], pa.binary())], ["grade", "features", "counts"])
 
 
 def _scored(batches, model: OrdinalModel) -> Iterator[pa.RecordBatch]:
-    known = _Known(model.index)
+    known = _known(model.index)
     for batch in by_slices(batches, "text"):
         severity, grade, chance = [], [], []
         for text in batch.column("text").to_pylist():
@@ -140,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     a first, two-grade fit: grade 1 below, 2 from there on. None where either label has no row."""
     small_batches(docs.sparkSession)
     sample = sample_labelled(docs.select(id_col, text_col), labels, id_col, label_col, most)
-    got = sample.select(F.col(text_col).alias("text"), "grade").mapInArrow(_extracted, "grade int, features binary, counts binary").collect()
+    spread = sample.select(F.col(text_col).alias("text"), "grade").repartition(docs.sparkSession.sparkContext.defaultParallelism)  # at most 2 * most rows
+    got = spread.mapInArrow(_extracted, "grade int, features binary, counts binary").collect()
     got.sort(key=lambda r: (r["grade"], bytes(r["features"])))
     rows = [(np.frombuffer(r["features"], np.uint32), np.frombuffer(r["counts"], np.uint32)) for r in got]
     grades = np.array([r["grade"] for r in got], np.int64)
@@ -168,7 +165,7 @@ def score(docs: DataFrame, model: OrdinalModel | None, id_col: str = "doc_id", t
 
 
 def _passed(batches, model: OrdinalModel, reject: float) -> Iterator[pa.RecordBatch]:
-    known = _Known(model.index)
+    known = _known(model.index)
     for batch in by_slices(batches, "_text"):
         clean = []
         for text in batch.column("_text").to_pylist():
