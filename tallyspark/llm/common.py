@@ -120,7 +120,21 @@ class Remembered(dict):
         return got
 
 
-_WORDS = Remembered(xxhash.xxh3_64_intdigest, 100_000)
+class WordHashes(dict):
+    """64-bit hashes of words, remembered up to a bound."""
+
+    def __init__(self, most: int = 100_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        got = self[word] = xxhash.xxh3_64_intdigest(word)
+        return got
+
+
+_WORDS = WordHashes()
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 
