@@ -4,7 +4,7 @@ Whether a line end is inside quotes depends on all that stands before it. Each s
 over: as if it began outside of quotes, and as if inside. What a split says is small (how many records begin in it and where
 it ends, for each of the two), so a running composition over all splits in order tells how each begins, and the number of its
 first record. Then the splits are parsed in parallel. A record that crosses into another split is put together from its
-pieces, which a further pass over such files alone brings."""
+pieces, which a further pass over the files brings."""
 
 from __future__ import annotations
 
@@ -26,6 +26,7 @@ ROW, REJECTED, SPLIT = "row_index", "__rejected", "__split"
 NULLS = frozenset(NA_TOKENS)
 #: Rows of a batch handed on.
 BATCH = 4096
+RECUT = "the files have been cut otherwise than before; read them again"
 
 
 @dataclass(frozen=True)
@@ -227,7 +228,7 @@ def _records(batches, names: list[str], dialect: Dialect) -> Iterator[pa.RecordB
     ready: list[tuple[int, str]] = []
     for (split, first, inside, base), batch in _runs(batches, "split", "first", "inside", "base"):
         if split is None:
-            raise SourceError("the files have been cut otherwise than before; read them again")
+            raise SourceError(RECUT)
         if split != now:
             now, walk, at, header = split, _Walk(dialect, first, inside), base, first
         for record in walk.records(batch):
@@ -255,6 +256,8 @@ def _pieces(batches, dialect: Dialect) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pydict({ROW: pa.array([r[0] for r in got], pa.int64()), SPLIT: pa.array([now] * len(got), pa.int32()), "text": pa.array([dialect.newline.join(r[1]) for r in got], pa.string())})
 
     for (split, first, inside, begin), batch in _runs(batches, "split", "first", "inside", "base"):
+        if split is None:
+            raise SourceError(RECUT)
         if split != now:
             if walk is not None:
                 yield rows()
@@ -284,15 +287,12 @@ def read_records(spark: SparkSession, path: str | list[str], names: list[str], d
     found = lines.mapInArrow(lambda b: _summaries(b, dialect), "file string, start long, n0 long, open0 boolean, n1 long, open1 boolean, short boolean").collect()  # a row a split
     places = _placed(found)
     shape = f"{ROW} long, {', '.join(f'c{k} string' for k in range(len(names)))}, {REJECTED} string"
-    table = spark.createDataFrame([p[:5] for p in places], "file string, start long, split int, inside boolean, base long")
+    table = F.broadcast(spark.createDataFrame(places, "file string, start long, split int, inside boolean, base long, crosses boolean"))  # a row a split
     columns = ["split", (F.col("start") == 0).alias("first"), "inside", "base", "value"]
-    out = lines.join(F.broadcast(table), ["file", "start"], "left").select(*columns).mapInArrow(lambda b: _records(b, names, dialect), shape)  # a row a split
-    crossed = [p[:5] for p in places if p[5]]
-    if crossed:
-        some = spark.createDataFrame(crossed, table.schema)
-        files = sorted({p[0] for p in crossed})
-        again = lines_of(spark, path, dialect).join(F.broadcast(some), ["file", "start"])
-        again = again.filter(F.col("file").isin(files)) if len(files) <= 200 else again
+    out = lines.join(table, ["file", "start"], "left").select(*columns).mapInArrow(lambda b: _records(b, names, dialect), shape)
+    if any(p[5] for p in places):
+        # The pass reads all files: Spark cuts files by the bytes of all that it reads, so with a filter of files it would cut them otherwise.
+        again = lines_of(spark, path, dialect).join(table, ["file", "start"], "left").filter("split IS NULL OR crosses")
         pieces = again.select(*columns).mapInArrow(lambda b: _pieces(b, dialect), f"{ROW} long, {SPLIT} int, text string")
         whole = pieces.groupBy(ROW).agg(F.sort_array(F.collect_list(F.struct(SPLIT, "text"))).alias("p")).select(ROW, F.array_join("p.text", dialect.newline).alias("text"))
         out = out.unionByName(whole.mapInArrow(lambda b: _joined(b, names, dialect), shape))

@@ -54,6 +54,16 @@ def test_quoted_line_ends_at_split_bounds(spark, split, tmp_path, sep, end, size
     assert source.counts() == {"records": len(got), "bad_lines": 0} and source.rejected.count() == 0
 
 
+def test_files_without_crossing_records_do_not_change_the_cuts(spark, split, tmp_path):
+    want = [(str(i), "two\nlines " * (i % 7)) for i in range(600)]
+    (tmp_path / "f0.csv").write_text("id,v\n")
+    (tmp_path / "f1.csv").write_text(written([["id", "v"], *want], end="\n"), newline="")
+    split(1 << 20)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    got = open_csv(spark, str(tmp_path)).table.select("id", F.coalesce("v", F.lit(""))).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_bad_lines_are_counted_in_the_same_action_and_kept(spark, split, tmp_path):
     (tmp_path / "x.csv").write_text('a,b\n1,2\n1,2,3\n\n4\n"x\ny",5,6,7\n8,"9\n"\n')
     split(12)
