@@ -210,6 +210,22 @@ def test_scores_match_brute_force(spark, monkeypatch, small):
     assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
 
 
+def test_every_two_first_bytes_have_a_class(spark):
+    """2,000 beginnings of words in several scripts, each of its own class beside more frequent words."""
+    starts = [chr(a) + chr(b) for a in range(97, 123) for b in range(97, 123)] + [chr(c) for c in range(0x400, 0x10000, 64) if not 0xD800 <= c < 0xE000] + [f"{a}{chr(b)}" for a in range(10) for b in range(97, 123)]
+    beginnings = sorted({lm_score.lead_of(w.encode()) for w in starts})
+    often = " ".join(f"zz{i}" for i in range(lm_score.TOP_WORDS))
+    rows = [(0, f"{often} " * 3)] + [(i, " ".join(f"{w}{k}" for w in starts)) for i, k in ((1, "x"), (2, "y"), (3, "z"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    words = df.select("text").mapInArrow(lm_score._word_counts, "key long, lead int, n long").groupBy("key").agg(F.first("lead").alias("lead"), F.sum("n").alias("n"))
+    of = lm_score.vocabulary(words)
+    got = of.class_of[beginnings]
+    assert len(beginnings) > 1900 and len(set(got.tolist())) == len(beginnings) and lm_score.OTHER not in got and of.mass[lm_score.OTHER] == 1
+    brute = brute_scores([t for _, t in rows])[0]
+    for r in lm_score.lm_scores(df, F.lit(True)).collect():
+        assert math.isclose(r.score, brute(rows[r.doc_id][1])[3], rel_tol=1e-5)
+
+
 def test_distributions_sum_to_one():
     _, _, _, (p, kept, mass) = brute_scores([t for _, t in lm_rows()])
     assert all(math.isclose(sum(p(w, a) for a in mass), 1) for w in kept)
