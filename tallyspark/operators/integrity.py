@@ -6,7 +6,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 from functools import reduce
-from operator import add, mul
+from operator import add, and_, mul
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -175,17 +175,28 @@ def statistics(df: DataFrame, config: IntegrityConfig, columns: list[str]) -> di
 ROW_CHECKS = {"IC-001": nulls, "IC-004": date_range, "IC-005": numeric_range, "IC-006": negative, "IC-007": formats, "IC-008": references, "IC-009": cross_columns, "IC-010": outliers}
 
 
+#: Types whose values are equal when their texts are, so that they are compared as they are.
+PLAIN = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.DateType)
+
+
+def duplicate_keys(df: DataFrame, columns: list[str]) -> list[Column]:
+    """What tells rows that agree on the columns: up to four plain columns themselves, otherwise a SHA-256 of the columns' texts."""
+    if 0 < len(columns) <= 4 and all(isinstance(type_of(df, c), PLAIN) for c in columns):
+        return [F.col(f"`{c}`") for c in columns]
+    names = [F.col(f"`{c}`").cast("string").alias(c) for c in columns]
+    return [F.unhex(F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256))]
+
+
 def duplicate_findings(df: DataFrame, ic: str, columns: list[str], session_id: str, row_index: str) -> DataFrame:
     """IC-002 and IC-003: all rows that agree on the columns with another row; nulls agree with nulls.
 
-    Rows are counted by a 64-bit hash, combined before the shuffle. Of rows whose hash repeats, and of no others, the number
-    and a SHA-256 of the columns go on; whole rows never move."""
-    names = [F.col(f"`{c}`").cast("string").alias(c) for c in columns]
-    digest = F.unhex(F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256))
-    rows = df.select(F.col(f"`{row_index}`").cast("long").alias("row_index"), F.xxhash64(*names).alias("__h"), digest.alias("__d"))
-    repeated = rows.groupBy("__h").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__h")
-    some = rows.join(repeated, "__h", "left_semi").select("row_index", "__d")
-    found = some.join(some.groupBy("__d").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1"), "__d", "left_semi").select("row_index")
+    Keys are counted, combined before the shuffle, and the rows' numbers and keys are joined to those that repeat: each row
+    moves twice at most, whatever the share of rows that repeat. Whole rows never move."""
+    keys = {f"__k{i}": k for i, k in enumerate(duplicate_keys(df, columns))}
+    rows = df.select(F.col(f"`{row_index}`").cast("long").alias("row_index"), *[k.alias(n) for n, k in keys.items()])
+    repeated = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(*[F.col(n).alias(f"{n}r") for n in keys])
+    same = reduce(and_, [F.col(n).eqNullSafe(F.col(f"{n}r")) for n in keys])
+    found = rows.join(repeated, same, "left_semi").select("row_index")
     values = {"layer": F.lit(2), "finding_type": F.lit("integrity"), "rule_id": F.lit(ic), "rule_name": F.lit(NAMES[ic]), "column_name": F.lit(", ".join(columns) if ic == "IC-003" else None).cast("string"), "expected_value": F.lit("unique"), "severity": F.lit("high"), "confidence": F.lit(1.0), "reasoning": F.lit("the row occurs more than once" if ic == "IC-002" else "the key occurs more than once"), "detection_method": F.lit("rule"), "session_id": F.lit(session_id)}
     return shaped(found.withColumns(values).withColumn("finding_id", F.sha2(F.concat_ws("|", F.lit(session_id), F.lit(ic), F.col("row_index").cast("string"), F.lit("")), 256)))
 

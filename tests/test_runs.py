@@ -273,6 +273,21 @@ def test_duplicate_checks_move_no_whole_rows(spark):
     assert not [x for x in plan.splitlines() if "Exchange" in x and "wide" in x] and sorted(r.row_index for r in found.collect()) == [*range(10), *range(40, 50)]
 
 
+def test_duplicate_checks_move_each_row_twice_at_most(spark):
+    from tallyspark.operators import integrity
+
+    df = spark.range(60).selectExpr("id AS row_index", "CASE WHEN id % 30 < 25 THEN id % 30 END AS k", "CAST(id % 30 AS INT) AS n", "CAST(id % 30 AS DOUBLE) AS x", "id > 50 AS b")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for columns, want in ((["k"], range(60)), (["k", "n"], range(60)), (["n", "b"], [*range(21), *range(30, 51)]), (["x", "k"], range(60)), (["k", "x", "b"], [*range(21), *range(30, 51)])):
+            found = integrity.duplicate_findings(df, "IC-003", columns, "s", "row_index").select("row_index")
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") <= 3 and ("sha2" in plan) == ("x" in columns)
+            assert sorted(r.row_index for r in found.collect()) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_bad_configuration_of_the_second_file():
     for bad in ({"file": "x.csv"}, {"file": "x.csv", "keys": {"a": "b"}, "contradicts": [["a", "~", "b"]]}):
         with pytest.raises(ValueError):
