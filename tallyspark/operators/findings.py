@@ -14,6 +14,8 @@ SCHEMA = (
 )
 WEIGHTS = {"high": 3, "medium": 2, "low": 1}
 SEVERITIES = tuple(WEIGHTS)
+#: The column of a hit's check, by number.
+HIT = "__hit"
 
 
 @dataclass(frozen=True)
@@ -50,21 +52,23 @@ def emit(df: DataFrame, checks: list[Check], session_id: str = "session", row_in
     if not checks:
         return df.sparkSession.createDataFrame([], SCHEMA)
     nothing = F.lit(None).cast("string")
-
-    def record(c: Check) -> Column:
-        return F.struct(
-            F.lit(c.layer).alias("layer"), F.lit(c.kind).alias("finding_type"), text(c.rule_id).alias("rule_id"), F.lit(c.name).alias("rule_name"), text(c.column).alias("column_name"),
-            (c.actual.cast("string") if c.actual is not None else nothing).alias("actual_value"), text(c.expected).alias("expected_value"), F.lit(c.severity).alias("severity"), F.lit(c.confidence).cast("double").alias("confidence"),
-            F.lit(c.reasoning).alias("reasoning"), F.lit(c.method).alias("detection_method"),
-        )
-
     data = F.to_json(F.struct(*[F.col(f"`{c}`") for c in snapshot]), {"ignoreNullFields": "false"}) if snapshot else nothing
     index = F.col(f"`{row_index}`").cast("long").alias("row_index")
     if len(checks) == 1:
-        rows = df.filter(checks[0].predicate).select(index, data.alias("row_data"), record(checks[0]).alias("f")).select("row_index", "row_data", "f.*")
+        hits, of = df.filter(checks[0].predicate), lambda values: values[0]
+        actual = checks[0].actual.cast("string") if checks[0].actual is not None else nothing
     else:
-        hits = F.array_compact(F.array(*[F.when(c.holds(), record(c)) for c in checks]))
-        rows = df.select(index, data.alias("row_data"), F.inline(hits))
+        # A row's hits are the numbers of the checks, so what is said of a hit is made afterwards, and only if it is wanted.
+        numbers = F.array_remove(F.array(*[F.when(c.holds(), k).otherwise(-1) for k, c in enumerate(checks)]), -1)
+        hits, of = df.withColumn(HIT, F.explode(numbers)), lambda values: F.element_at(F.array(*values), F.col(HIT) + 1)
+        shown = [F.when(F.col(HIT) == k, c.actual.cast("string")) for k, c in enumerate(checks) if c.actual is not None]
+        actual = F.coalesce(*shown) if shown else nothing
+    rows = hits.select(
+        index, data.alias("row_data"), of([F.lit(c.layer) for c in checks]).alias("layer"), of([F.lit(c.kind) for c in checks]).alias("finding_type"), of([text(c.rule_id) for c in checks]).alias("rule_id"),
+        of([F.lit(c.name) for c in checks]).alias("rule_name"), of([text(c.column) for c in checks]).alias("column_name"), actual.alias("actual_value"), of([text(c.expected) for c in checks]).alias("expected_value"),
+        of([F.lit(c.severity) for c in checks]).alias("severity"), of([F.lit(c.confidence).cast("double") for c in checks]).alias("confidence"), of([F.lit(c.reasoning) for c in checks]).alias("reasoning"),
+        of([F.lit(c.method) for c in checks]).alias("detection_method"),
+    )
     identity = F.sha2(F.concat_ws("|", F.lit(session_id), F.coalesce("rule_id", F.lit("")), F.col("row_index").cast("string"), F.coalesce("column_name", F.lit(""))), 256)
     return shaped(rows.withColumns({"finding_id": identity, "session_id": F.lit(session_id), "created_at": text(created_at)}))
 

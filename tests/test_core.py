@@ -237,3 +237,16 @@ def test_markdown_says_how_many_high_findings_it_leaves_out(spark, tmp_path, mon
     run = run_audit(spark, str(tmp_path / "t.csv"), tmp_path / "out")
     text = next((tmp_path / "out").glob("*_report.md")).read_text()
     assert run.report["high_total"] == 5 and "and 3 more of high severity" in text
+
+
+def test_several_checks_make_what_they_say_after_the_hits(spark):
+    """No higher-order function, which Spark interprets, over the predicates; what is not wanted is not made."""
+    from tallyspark.operators.rules import RuleEngine, build
+
+    rules = [{"id": f"R00{k}", "name": f"n{k}", "severity": "high", "field": c, "condition": "gte", "threshold": k} for k, c in ((1, "a"), (2, "b"), (3, "a"))]
+    df = spark.createDataFrame([(0, 1.0, 5), (1, 3.5, None), (2, None, 0), (3, 3.0, 2)], "row_index long, a double, b int")
+    found = RuleEngine([build(r) for r in rules]).evaluate(df)
+    got = {(r.row_index, r.rule_id, r.rule_name, r.column_name, r.actual_value, r.expected_value) for r in found.collect()}
+    assert got == {(0, "R001", "n1", "a", "1.0", "1"), (0, "R002", "n2", "b", "5", "2"), (1, "R001", "n1", "a", "3.5", "1"), (1, "R003", "n3", "a", "3.5", "3"), (3, "R001", "n1", "a", "3.0", "1"), (3, "R002", "n2", "b", "2", "2"), (3, "R003", "n3", "a", "3.0", "3")}
+    plan = found.select("row_index", "rule_id")._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "regexp_replace" not in plan
