@@ -22,18 +22,21 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), BETWEEN), lambda x: x != "")
 
 
-def _shingles(frame: DataFrame, width: int, hashed: bool) -> DataFrame:
-    """frame (…, text) -> (…, shingles): distinct shingles of the whole text, as hashes or strings; rows without words go."""
+def _shingles(frame: DataFrame, width: int, name: str, hashed: bool) -> DataFrame:
+    """frame (…, text) -> (…, name): a row for each distinct shingle of the whole text, as hash or string; rows without words go.
+
+    The arrays are exploded as an expression: of a column, Spark would infer filters of its size and nulls, push them below
+    all joins, and so make the shingles of every text up to three times."""
     one = lambda words, i: F.xxhash64(F.slice(words, i, width)) if hashed else F.array_join(F.slice(words, i, width), " ")
     starts = lambda words: F.sequence(F.lit(1), F.greatest(F.size(words) - (width - 1), F.lit(1)))
     of = lambda words: F.when(F.size(words) > 0, F.array_distinct(F.transform(starts(words), lambda i: one(words, i))))
     bound = F.transform(F.array(_words(F.col("text"))), of)  # a lambda's variable is evaluated once, a column in a lambda at each step
-    return frame.withColumn("shingles", bound[0]).drop("text").filter("shingles is not null")
+    return frame.select(*[c for c in frame.columns if c != "text"], F.explode(bound[0]).alias(name))
 
 
 def sketches(items: DataFrame, threshold: float, width: int, extra: int) -> DataFrame:
     """(hash, item, need, size): the sketch hashes of each item, with the number of them that a document must hold."""
-    sets = _shingles(items, width, True).select("item", F.explode("shingles").alias("hash")).distinct()
+    sets = _shingles(items, width, "hash", True).distinct()
     sets = sets.groupBy("item").agg(F.sort_array(F.collect_set("hash")).alias("set"))
     size, slack = F.size("set"), F.floor(F.size("set") * (1 - threshold) + 1e-9).cast("int")
     part = F.floor(F.log2(size)).cast("int")  # sizes 2^p .. 2^(p+1)-1 share the surplus p + extra, so larger items have more selective sketches
@@ -52,13 +55,13 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.col("text"))
     sketch = durable(sketches(items, threshold, width, extra))
-    hits = join_sized(_shingles(texts, width, True).select("doc", F.explode("shingles").alias("hash")), sketch, "hash", "inner", limit)
+    hits = join_sized(_shingles(texts, width, "hash", True), sketch, "hash", "inner", limit)
     hits = hits.groupBy("doc", "item").agg(F.count_distinct("hash").alias("n"), F.first("need").alias("need"))
     pairs = durable(hits.filter("n >= need").select("doc", "item"))
     suspects = durable(pairs.select("doc").distinct())
-    sets = durable(_shingles(items, width, False).select("item", F.explode("shingles").alias("shingle")).distinct())
+    sets = durable(_shingles(items, width, "shingle", False).distinct())
     sets = durable(sets.join(sets.groupBy("item").agg(F.count(F.lit(1)).alias("n_item")), "item"))
-    held = _shingles(join_sized(texts, suspects, "doc", "left_semi", limit), width, False).select("doc", F.explode("shingles").alias("shingle"))
+    held = _shingles(join_sized(texts, suspects, "doc", "left_semi", limit), width, "shingle", False)
     shared = join_sized(join_sized(held, sets, "shingle", "inner", limit), pairs, ["doc", "item"], "left_semi", limit)
     shared = shared.groupBy("doc", "item", "n_item").agg(F.count_distinct("shingle").alias("n_shared"))
     share = F.col("n_shared") / F.col("n_item")

@@ -51,6 +51,19 @@ def test_decontamination_runs_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_decontamination_makes_shingles_once_and_of_suspects_only(spark):
+    left = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l")], "doc_id long, text string").persist()
+    right = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string").persist()
+    found = decontaminate.contained_items(left, right)
+    assert [(r.doc_id, r.n_shared, r.n_item) for r in found.collect()] == [(1, 2, 2)]
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = [k for k, line in enumerate(lines) if "split(" in line]
+    assert len(made) == 1 and lines[made[0]].count("split(") == 1  # no filter makes them again
+    assert any("LeftSemi" in line for line in lines[made[0] :])  # and the join with the suspects comes before
+    hashed = decontaminate._shingles(left.select(F.col("doc_id").alias("doc"), "text"), 5, "hash", True)
+    assert hashed._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
 LANGS = {"aa": ["ba", "lo", "mi", "ta"], "bb": ["xu", "zek", "qo", "ji"], "cc": ["éa", "ßo", "ñu", "rr"]}
 
 
