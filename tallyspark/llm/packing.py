@@ -8,20 +8,22 @@ powers of two."""
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
-from itertools import islice
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import by_slices, small_batches, table
+from .common import Remembered, by_slices, small_batches, table
 
 TOKENIZER = "word_bpe_49k.json"
 TIERS = (256, 512, 1024, 2048)
@@ -32,72 +34,121 @@ _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
-class WordIds(dict):
-    """Token ids, as little-endian unsigned 32-bit bytes, of strings without ASCII white space, remembered up to a bound.
+def _gather(flat: np.ndarray, lengths: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs numbered `take`, joined, and where each ends; flat holds runs of those lengths in turn."""
+    own = lengths[take]
+    stops = np.cumsum(own)
+    at = np.repeat((np.cumsum(lengths) - lengths)[take] - (stops - own), own)
+    at += np.arange(len(at))
+    return flat[at], stops
+
+
+class WordIds:
+    """Token ids, little-endian unsigned 32-bit, of strings without ASCII white space.
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are those of its strings in turn.
-    Letters and the marks before and after them are tokenized apart, so a string's ids are those of its parts; only letters
-    are remembered, once for all marks beside them. They go to the BPE model itself, all other strings to the tokenizer. When
-    the bound is reached, the older half goes."""
+    Letters and the marks before and after them are tokenized apart, so a string's ids are those of its parts. New parts go
+    together to the BPE model itself, strings that can't be parted to the tokenizer; both are remembered, up to a bound,
+    when the older half goes."""
 
-    def __init__(self, path: str, most: int = 300_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 500_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs side by side
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocab, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a part
+        self.ends[[i for x, i in vocab.items() if x.endswith(suffix)]] = True
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in plain]
         self.byte_chars = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.marks: dict[str, bytes] = {"": b""}
-        self.last = {ord(m): self._marked(m) for m in ".,;:!?)-"}  # marks that often end a string
+        self.wholes = Remembered(lambda word: np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes(), most)
+        self.forget()
 
     def forget(self) -> None:
         """Give the memory of words, and what Arrow holds in reserve, back to the system."""
-        self.clear()
+        self.wholes.clear()
+        self.parts = pa.array([], pa.binary())
+        self.flat, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64)  # a length of -1: the tokenizer must see the whole string
         pa.default_memory_pool().release_unused()
 
-    def _model(self, text: str) -> bytes:
-        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(text)])
-
-    def _marked(self, marks: str) -> bytes:
-        got = self.marks.get(marks)
-        if got is None:
-            got = self._model(marks)
-            if len(self.marks) < 10_000:
-                self.marks[marks] = got
-        return got
-
-    def __missing__(self, word: bytes) -> bytes:
-        if (last := self.last.get(word[-1])) and word[-2:-1].isalpha() and (known := self.get(word[:-1])):
-            return known + last
-        if word.isalpha():  # of ASCII letters, which the model knows as they are
-            got = self._model(word.lower().decode())
-        else:
-            text = word.decode()
-            left = text.lstrip(_MARKS)
-            letters = left.rstrip(_MARKS)
-            before, after = text[: len(text) - len(left)], left[len(letters) :]
-            if "'" in before or "<|" in text or letters and not _LETTERS.fullmatch(letters):
-                got = b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
-            elif before or after:
-                return self._marked(before) + (self[letters.encode()] if letters else b"") + self._marked(after)
-            else:
-                got = self._model(letters.lower().encode().decode("latin-1").translate(self.byte_chars))
-        if len(self) >= self.most:
-            for old in list(islice(self, self.most // 2)):
-                del self[old]
-        self[word] = got
-        return got
+    def _chars(self, part: bytes) -> str | None:
+        """Letters, or marks, in the model's characters; None if they aren't tokenized apart."""
+        if part.isalpha():  # ASCII letters
+            return part.decode()
+        text = part.decode()
+        if not text.strip(_MARKS):
+            return None if "<|" in text else text
+        return text.lower().encode().decode("latin-1").translate(self.byte_chars) if _LETTERS.fullmatch(text) else None
+
+    def _learn(self, new: pa.Array) -> None:
+        chars = [*map(self._chars, new.to_pylist())]
+        lengths = np.fromiter((0 if x == "" else 1 if x else -1 for x in chars), np.int64, len(chars))
+        ids = np.array(self.model.encode_batch_fast([" ".join(filter(None, chars))])[0].ids, np.uint32)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != (lengths > 0).sum():
+            raise ValueError("the tokenizer's model does not end every word by its suffix")
+        lengths[lengths > 0] = np.diff(stops, prepend=0)
+        self.parts, self.flat, self.lengths = pa.concat_arrays([self.parts, new]), np.concatenate([self.flat, ids]), np.concatenate([self.lengths, lengths])
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different strings, joined, and each one's number of ids."""
+        if len(self.parts) > self.most:
+            gone = len(self.parts) // 2
+            self.flat, self.lengths, self.parts = self.flat[np.maximum(self.lengths[:gone], 0).sum() :], self.lengths[gone:], self.parts[gone:]
+        words, n = words.cast(pa.string()), len(words)
+        lower = pc.ascii_lower(words)
+        left = pc.ascii_ltrim(lower, _MARKS)
+        begins = np.frombuffer(lower.buffers()[1], np.int32, n + 1, 4 * lower.offset)
+        cuts = np.empty(3 * n + 1, np.int32)  # of each string: the marks before, the letters, the marks after
+        cuts[::3] = begins
+        cuts[1::3] = begins[1:] - pc.binary_length(left).to_numpy()
+        cuts[2::3] = cuts[1::3] + pc.binary_length(pc.ascii_rtrim(left, _MARKS)).to_numpy()
+        parts = pa.BinaryArray.from_buffers(pa.binary(), 3 * n, [None, pa.py_buffer(cuts), lower.buffers()[2]]).dictionary_encode()
+        own, three = parts.dictionary, parts.indices.to_numpy().reshape(n, 3)
+        found = pc.index_in(own, self.parts)
+        new, at = found.is_null(), found.fill_null(0).to_numpy().astype(np.int64)
+        if new.true_count:
+            at[new.to_numpy(zero_copy_only=False)] = len(self.parts) + np.arange(new.true_count)
+            self._learn(own.filter(new))
+        alone = self.lengths[at] >= 0
+        quoted = pc.match_substring(own, "'").to_numpy(zero_copy_only=False)  # before letters, they may be a token with these
+        whole = np.flatnonzero(~alone[three].all(1) | quoted[three[:, 0]])
+        others = [*map(self.wholes.__getitem__, words.take(pa.array(whole)).to_pylist())]
+        runs, nothing = at[three], len(self.parts)
+        runs[whole] = nothing
+        runs[whole, 0] += 1 + np.arange(len(whole))
+        lengths = np.concatenate([np.maximum(self.lengths, 0), [0], np.fromiter(map(len, others), np.int64, len(others)) // 4])
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join(others), np.uint32)])
+        return _gather(flat, lengths, runs.ravel())[0], lengths[runs].sum(1)
 
 
 _IDS: dict[str, WordIds] = {}
 
 
-def token_bytes(text: str | None, path: str, end: int = END) -> bytes:
-    """The document's ids and the end id, four bytes each."""
+def token_runs(texts: pa.Array, path: str, end: int = END) -> Iterator[bytes]:
+    """Each document's ids and the end id, four bytes each. Only the strings that differ are looked up, once for all texts."""
     if path not in _IDS:
         _IDS[path] = WordIds(path)
-    return b"".join(map(_IDS[path].__getitem__, (text or "").encode().split())) + end.to_bytes(4, "little")
+    if not len(texts):
+        return
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    words = split.flatten().dictionary_encode()
+    flat, lengths = _IDS[path].of(words.dictionary)
+    after = split.offsets.to_numpy()[1:]
+    take = np.insert(words.indices.to_numpy(), after, len(lengths))
+    ids, stops = _gather(np.append(flat, np.uint32(end)), np.append(lengths, 1), take)
+    start = 0
+    for stop in stops[after + np.arange(len(after))].tolist():
+        yield ids[start:stop].tobytes()
+        start = stop
+
+
+def token_bytes(text: str | None, path: str, end: int = END) -> bytes:
+    """One document's ids and the end id."""
+    return next(token_runs(pa.array([text], pa.string()), path, end))
 
 
 class Packer:
@@ -236,9 +287,8 @@ def _packed(batches, path: str, end: int, tiers: tuple[int, ...], step_tokens: i
         yield pa.RecordBatch.from_arrays([pa.array(cols[k], t) for k, t in order], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"])
 
     try:
-        for batch in by_slices(batches, "text", 2 << 20):
-            for id_, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                data = token_bytes(text, path, end)
+        for batch in by_slices(batches, "text"):
+            for id_, data in zip(batch.column("id").to_pylist(), token_runs(batch.column("text"), path, end)):
                 packer.add(id_, data)
                 gathered += len(data) // 4
             if gathered >= BATCH_TOKENS:

@@ -1,11 +1,14 @@
 import random
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tallyspark.llm import packing
 from tallyspark.llm.packing import TIERS, StepGroups, pack_documents, token_bytes
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -20,6 +23,38 @@ def test_token_bytes_match_the_tokenizer():
         assert token_bytes(text, PATH) == want, repr(text)
 
 
+def test_strings_are_looked_up_once_whatever_their_marks_and_case():
+    text = " ".join([a + w + z for a in ("", "(", '"') for w in ("alpha", "Alpha", "ALPHA", "Éclair") for z in ("", ",", "!!", "&&&")] * 500)
+    want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    token_bytes("", PATH)  # loads the tokenizer
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        got = token_bytes(text, PATH)
+    finally:
+        sys.setprofile(None)
+    assert got == b"".join(i.to_bytes(4, "little") for i in [*want, 1])
+    assert calls["call"] < 2000  # for 24,000 strings
+
+
+def test_many_texts_with_a_small_memory():
+    t, rng = Tokenizer.from_file(PATH), random.Random(8)
+    parts = ["alpha", "BETA", "Éclair", "ÿ", "J\u030c", "I\u0307", "A\u0301", "don't", "dogs'", "'s", "'re", "<|endoftext|>", "<|STARTOFTEXT|>", "(<|", "x1", "--", "!!", '"', "_", "</w>", "\u3000", "\u0085", "\xa0", "汉字", "\x00", "ǅ"]
+    ids = packing._IDS["small memory"] = packing.WordIds(PATH, 40)
+    try:
+        for n in (0, 1, 2, 30, 30, 30, 30, 30, 30):
+            texts = [rng.choice([None, "", " ", " ".join("".join(rng.choice([*parts, "q" * rng.randrange(60), chr(97 + rng.randrange(26))]) for _ in range(rng.randrange(4))) for _ in range(30))]) for _ in range(n + 2)]
+            got = list(packing.token_runs(pa.array(texts, pa.string()).slice(1, n), "small memory"))
+            assert got == [b"".join(i.to_bytes(4, "little") for i in [*t.encode(x or "", add_special_tokens=False).ids, 1]) for x in texts[1 : n + 1]]
+            assert len(ids.wholes) <= 40 and len(ids.parts) == len(ids.lengths) and ids.lengths.clip(0).sum() == len(ids.flat)
+        assert len(ids.parts) < 1000
+        before = len(ids.parts)
+        list(packing.token_runs(pa.array([" "]), "small memory"))
+        assert before <= 40 or len(ids.parts) <= before - before // 2 + 1
+    finally:
+        del packing._IDS["small memory"]
+
+
 def test_every_id_lies_in_one_piece_and_windows_are_full(spark):
     rng, t = random.Random(3), Tokenizer.from_file(PATH)
     texts = {i: " ".join(rng.choice(["alpha", "beta,", "gamma!", "x1"]) for _ in range(rng.choice([0, 1, 5, 80, 300, 900, 5000]))) for i in range(120)} | {120: None, 121: ""}
